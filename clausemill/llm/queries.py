@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, near_dups
 from .common import read
 
 
@@ -12,7 +12,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op5_near_duplicates": op5_near_duplicates}
 
 OP1_SQL = r"""
 WITH sized AS (
