@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dups
+from . import decontaminate, mixing, near_dups, tokens
 from .common import read
 
 
@@ -16,7 +16,17 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_near_duplicates": op5_near_duplicates}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_token_counts": op3_token_counts, "op5_near_duplicates": op5_near_duplicates, "op7_decontamination": op7_decontamination}
 
 OP1_SQL = r"""
 WITH sized AS (
