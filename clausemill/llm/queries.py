@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dups, tokens
+from . import decontaminate, langid, mixing, near_dups, quality, tokens
 from .common import read
 
 
@@ -26,7 +26,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_token_counts": op3_token_counts, "op5_near_duplicates": op5_near_duplicates, "op7_decontamination": op7_decontamination}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_decontamination": op7_decontamination,
+    "op10_language": op10_language,
+}
 
 OP1_SQL = r"""
 WITH sized AS (
