@@ -274,3 +274,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
         .select("doc_id", "n_shingles", "component_id", "kept")
     )
+
+
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without those of documents that aren't kept, and one row of an id that stands on several.
+
+    Rows without an id stay.
+    """
+    judged = Scratch(docs.sparkSession, "near").put(near_duplicates(docs, width, percent), "judged")
+    gone = judged.filter("not kept").select("doc_id").distinct()
+    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("cm_rows")).filter("cm_rows > 1").select("doc_id")
+    rest = docs.join(gone, "doc_id", "left_anti")
+    single = rest.join(repeated, "doc_id", "left_anti")
+    return single.unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
