@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, near_dups, quality, tokens
+from . import decontaminate, langid, mixing, near_dups, quality, tokens, toxicity
 from .common import read
 
 
@@ -30,6 +30,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op10_language": op10_language,
 }
 
