@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, near_dups, quality, tokens, toxicity
+from . import decontaminate, html_text, langid, mixing, near_dups, quality, tokens, toxicity
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_html_text": op9_html_text,
     "op10_language": op10_language,
 }
 
