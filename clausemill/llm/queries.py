@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, mixing, near_dups, quality, tokens, toxicity
+from . import chat, decontaminate, html_text, langid, mixing, near_dups, quality, tokens, toxicity
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return chat.format_chats(turns, chat.learn(turns))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +50,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_chat": op2_chat,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
