@@ -7,10 +7,12 @@
    ordered by frequency, rarest first. Two documents with MATCHES collisions or more share one of their
    COORDINATES - MATCHES + 1 first tokens (prefix merging), so frequent tokens, as shared passages have, are left out of
    the lists (skip merging) and only counted when a pair's signatures are held against each other.
-4. In each list, members are held against a hub instead of each other. Links are contracted to components; lists
-   that hold members of several components are gone through again with another hub, at last pair by pair,
-   leaving out pairs that are connected already. So a large group of copies costs rows in proportion to its size.
-5. Pairs with MATCHES collisions are confirmed on their full sets.
+4. In each list, members are held against a hub instead of each other: the most central one, then one by chance. Links are
+   contracted to components, and lists whose members are all connected are done. So a large group of copies costs rows in proportion
+   to its size.
+5. Members of the lists that are left meet in a second prefix merging, over their full sets with places counted, which
+   leaves out what is connected or can't reach the threshold.
+6. Pairs are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from .common import Scratch
 COORDINATES, MATCHES = 24, 10
 #: At similarity 0.8 a pair has fewer than 10 of 24 collisions in 6 cases of a million.
 PREFIX = COORDINATES - MATCHES + 1
-HUB_ROUNDS = 2
+HUB_TURNS = 2
+#: Hash buckets in which shingles are counted to order them.
+SKETCH = 1 << 20
 #: Word hashes kept by a task; they are dropped together when there are more.
 KNOWN_WORDS = 1 << 18
 SALTS = 64
-#: Shingles hashed at a time, and rows sent at a time.
-BLOCK, ROWS = 1 << 15, 256
+#: Shingles hashed at a time.
+BLOCK = 1 << 15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -107,78 +111,69 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefix_lists(reps: DataFrame) -> DataFrame:
-    """(token, id): each representative under its first tokens, in order of frequency."""
+    """(token, id, central): each representative under its first tokens, in order of frequency. central: the frequencies of its tokens, summed."""
     posted = reps.select("id", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = posted.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    kept = ranked.filter(F.size("shared") >= MATCHES).select("id", F.expr(f"slice(shared, 1, size(shared) - {MATCHES - 1})").alias("first"))
-    return kept.select(F.explode("first.token").alias("token"), "id")
+    ranked = posted.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"), F.sum("df").alias("central"))
+    kept = ranked.filter(F.size("shared") >= MATCHES).select("id", "central", F.expr(f"slice(shared, 1, size(shared) - {MATCHES - 1})").alias("first"))
+    return kept.select(F.explode("first.token").alias("token"), "id", "central")
 
 
-def with_component(lists: DataFrame, parents: DataFrame | None) -> DataFrame:
+def with_component(rows: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """`rows` (with id) and comp."""
     if parents is None:
-        return lists.withColumn("comp", F.col("id"))
-    return lists.join(parents, "id", "left").withColumn("comp", F.coalesce("root", "id")).select("token", "id", "comp")
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(parents, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def unmerged(lists: DataFrame) -> DataFrame:
+    """The lists whose members stand in several components."""
+    several = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+    return lists.join(several, "token", "left_semi")
 
 
 def hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): every member of a list against one hub, another in each turn; connected pairs are left out."""
-    order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+    """(a, b): every member of a list against one hub: first the most central, then one by chance; connected pairs are left out."""
+    order = -F.col("central") if turn == 0 else F.xxhash64(F.lit(turn), "id")
     hubs = lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("token", "h.hub", "h.hub_comp")
     met = lists.join(hubs, "token").filter("comp != hub_comp")
-    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-
-def all_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): the pairs of each list that aren't connected."""
-    x, y = lists.alias("x"), lists.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def colliding(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def colliding(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs with MATCHES equal tokens or more whose sizes admit the threshold."""
     tokens = reps.select("id", "tokens", "n_shingles")
     left = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n_shingles").alias("na")), "a")
     both = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n_shingles").alias("nb")), "b")
     near = F.aggregate(F.zip_with("ta", "tb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) >= MATCHES
-    return both.filter(near).select("a", "b", "na", "nb")
+    return both.filter(near & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union.
+def sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles): the full sets of the named representatives, made anew from their texts."""
+    wanted = reps.select("id", "doc_id").join(ids, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("id", "text")
 
-    Each set goes to the pair's smaller name as hub, which spreads over SALTS parts where it has many partners; sorted
-    by part with the hub first, a task holds one hub's set at a time. Sets are made anew from the texts.
-    """
-    sized = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    dealt = sized.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    roles = dealt.select(F.col("b").alias("id"), F.col("a").alias("hub"), "salt").unionByName(dealt.select(F.col("a").alias("id"), F.col("a").alias("hub"), "salt").distinct())
-    listed = roles.groupBy("id").agg(F.collect_list(F.struct("hub", "salt")).alias("hubs")).join(reps.select("id", "doc_id"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed, "doc_id").select("id", "text", "hubs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(width)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            found = [shingle(text) for text in _texts(batch, "text")]
+            own = [k for k, x in enumerate(found) if node_of(x) == ids[k]]  # not another row with the representative's doc_id
+            yield pa.record_batch([pa.array([ids[k] for k in own], pa.int64()), pa.array([found[k].tobytes() for k in own], pa.binary())], ["id", "shingles"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, rows, names = Shingler(width), [], ["hub", "salt", "id", "shingles"]
+    return texts.mapInArrow(run, "id long, shingles binary")
 
-        def sent() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            return pa.record_batch([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
-            for i, text, hubs in zip(batch.column(0).to_pylist(), _texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                found = shingle(text)
-                if node_of(found) != i:
-                    continue  # another row with the representative's doc_id
-                data = found.tobytes()
-                for h in hubs:
-                    rows.append((h["hub"], h["salt"], i, data))
-                    if len(rows) >= ROWS:
-                        yield sent()
-                        rows.clear()
-        if rows:
-            yield sent()
-
-    sent = texts.mapInArrow(sets, "hub long, salt int, id long, shingles binary")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    b's set goes to a as hub, which spreads over SALTS parts where it has many partners; sorted by part with the hub
+    first, a task holds one hub's set at a time.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    roles = dealt.select(F.col("b").alias("id"), F.col("a").alias("hub"), "salt").unionByName(dealt.select(F.col("a").alias("id"), F.col("a").alias("hub"), "salt").distinct())
+    sent = sets.join(roles, "id").select("hub", "salt", "id", "shingles")
     placed = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("id") != F.col("hub"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +197,64 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     return placed.mapInArrow(compare, "a long, b long")
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each of SKETCH hash buckets: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                x = np.frombuffer(b"".join(batch.column(0)[k : k + 256].to_pylist()), np.uint64)
+                total += np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        met = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(met.astype(np.int32)), pa.array(total[met])], ["bucket", "n"])
+
+    table = sets.select("shingles").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SKETCH, np.int64)
+    out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def set_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of (id, comp) members in different components whose full sets may reach the threshold.
+
+    Prefix merging on the sets themselves: with all shingles in one order, rare ones first, a pair at the threshold has a first common
+    shingle, and what is left after it in both sets must be enough for the overlap. Its place in the smaller set is
+    bounded by the overlap of sets of its own size, in the larger by that of the smallest admitted.
+    """
+    own = members.join(sets, "id")
+    shared = members.sparkSession.sparkContext.broadcast(frequencies(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for i, comp, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x = np.frombuffer(data, np.uint64)
+                n = len(x)
+                first = n + percent * n // -100 + 1  # n - ceil(percent n / 100) + 1
+                order = np.lexsort((x, often[(x % np.uint64(SKETCH)).astype(np.int64)]))[:first]
+                out[0].append(x[order].view(np.int64))
+                out[1] += [i] * first
+                out[2] += [comp] * first
+                out[3] += [n] * first
+                out[4] += range(1, first + 1)
+            tokens = np.concatenate(out[0]) if out[0] else np.empty(0, np.int64)
+            yield pa.record_batch([pa.array(tokens, pa.int64()), *[pa.array(c, pa.int64()) for c in out[1:]]], ["token", "id", "comp", "n", "at"])
+
+    listed = own.select("id", "comp", "shingles").mapInArrow(run, "token long, id long, comp long, n long, at long")
+    listed = listed.filter("id is not null")
+    x, y = listed.alias("x"), listed.alias("y")
+    need = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    smaller = F.expr(f"x.at <= x.n - ({2 * percent} * x.n + {99 + percent}) div {100 + percent} + 1")
+    met = x.filter(smaller).join(
+        y,
+        (F.col("x.token") == F.col("y.token")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & (F.col("x.comp") != F.col("y.comp"))
+        & (100 * F.col("x.n") >= percent * F.col("y.n")) & (1 + F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= need),
+    )
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def connected(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(id, root): the smallest id that each linked id reaches.
 
@@ -245,27 +298,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = signed.filter("node is not null and doc_id is not null")
     reps = full.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
     reps = scratch.put(reps, "reps")
-    lists = scratch.put(prefix_lists(reps), "lists")
+    lists = scratch.put(unmerged(with_component(prefix_lists(reps), None)), "lists").drop("comp")
+    sets = scratch.put(sets_of(lists.select("id").distinct(), reps, docs, width), "sets")
     # an id that stands on rows with different sets links them
     several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z")
-    same_id = full.join(several, "doc_id").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    links = scratch.put(same_id, "same-id")
+    links = scratch.put(full.join(several, "doc_id").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "same-id")
     parents = None if links.isEmpty() else connected(links, scratch, "cc-ids")
-    tried = links
-    for turn in range(HUB_ROUNDS + 1):
-        lists = with_component(lists.select("token", "id"), parents)
-        if turn:
-            unmerged = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-            lists = lists.join(unmerged, "token", "left_semi")
-        lists = scratch.put(lists, f"lists-{turn}")
-        pairs = (hub_pairs(lists, turn) if turn < HUB_ROUNDS else all_pairs(lists)).join(tried, ["a", "b"], "left_anti")
-        candidates = scratch.put(colliding(pairs, reps), f"candidates-{turn}")
-        tried = tried.unionByName(candidates.select("a", "b"))
-        found = scratch.put(confirmed(candidates, reps, docs, width, percent), f"links-{turn}")
+    for turn in range(HUB_TURNS + 1):
+        lists = scratch.put(unmerged(with_component(lists, parents)), f"lists-{turn}")
+        if lists.isEmpty():
+            break
+        pairs = colliding(hub_pairs(lists, turn), reps, percent) if turn < HUB_TURNS else set_pairs(lists.select("id", "comp").distinct(), sets, percent)
+        found = scratch.put(confirmed(scratch.put(pairs, f"pairs-{turn}"), sets, percent), f"links-{turn}")
+        lists = lists.drop("comp")
         if not found.isEmpty():
             links = links.unionByName(found)
             parents = connected(links, scratch, f"cc-{turn}")
-    classed = with_component(reps.select("id", "doc_id", F.lit(0).alias("token")), parents).select("id", "comp") if parents is not None else reps.select("id", F.col("id").alias("comp"))
+    classed = with_component(reps.select("id"), parents)
     smallest = classed.join(reps.select("id", "doc_id"), "id").groupBy("comp").agg(F.min("doc_id").alias("component"))
     named = classed.join(smallest, "comp").select(F.col("id").alias("node"), "component")
     return (
