@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, langid, mixing, near_dups, quality, tokens, toxicity
+from . import chat, decontaminate, html_text, langid, licenses, mixing, near_dups, quality, tokens, toxicity
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.train())
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
