@@ -1 +1 @@
-
+"""End-to-end plans and the query catalogue."""
