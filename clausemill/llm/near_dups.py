@@ -152,7 +152,8 @@ def colliding(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, shingles): the full sets of the named representatives, made anew from their texts."""
     wanted = reps.select("id", "doc_id").join(ids, "id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("id", "text")
+    # the names grow with the corpus, so they are merged at any size instead of being broadcast while they are few
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
