@@ -11,13 +11,14 @@
    contracted to components, and lists whose members are all connected are done. So a large group of copies costs rows in proportion
    to its size.
 5. Members of the lists that are left meet in a second prefix merging, over their full sets with places counted, which
-   leaves out what is connected or can't reach the threshold.
+   leaves out what is connected or can't reach the threshold; longer sketches of minima thin it out.
 6. Pairs are confirmed on their full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ SKETCH = 1 << 20
 #: Word hashes kept by a task; they are dropped together when there are more.
 KNOWN_WORDS = 1 << 18
 SALTS = 64
+#: Bits of the sketch that members of the second merging carry (one of each of so many minima), 64 in a word, and how many
+#: standard deviations more bits than expected at the threshold may differ: one pair in a million at the threshold has more.
+SKETCH_BITS, SLACK = 512, 4.75
 #: Shingles hashed at a time.
 BLOCK = 1 << 15
 
@@ -198,6 +202,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return placed.mapInArrow(compare, "a long, b long")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The last bits of SKETCH_BITS minima, as 64-bit words. Two sets differ in a bit with half their Jaccard distance."""
+    seeds = mixed(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    blocks = [mixed(shingles[k : k + 1024] ^ seeds[:, None]).min(axis=1) for k in range(0, len(shingles), 1024)]
+    bits = (np.min(blocks, axis=0) >> np.uint64(40)).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def frequencies(sets: DataFrame) -> np.ndarray:
     """How many shingles of the sets fall into each of SKETCH hash buckets: a table of fixed size."""
 
@@ -225,33 +237,39 @@ def set_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     own = members.join(sets, "id")
     shared = members.sparkSession.sparkContext.broadcast(frequencies(own))
+    words = SKETCH_BITS // 64
+    names = [f"b{k}" for k in range(words)]
+    apart = (1 - percent / 100) / 2
+    most = int(SKETCH_BITS * apart + SLACK * (SKETCH_BITS * apart * (1 - apart)) ** 0.5) + 1
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
             out = [[], [], [], [], []]
+            sketches = [np.empty((0, words), np.int64)]
             for i, comp, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 x = np.frombuffer(data, np.uint64)
                 n = len(x)
                 first = n + percent * n // -100 + 1  # n - ceil(percent n / 100) + 1
                 order = np.lexsort((x, often[(x % np.uint64(SKETCH)).astype(np.int64)]))[:first]
-                out[0].append(x[order].view(np.int64))
+                out[0] += x[order].view(np.int64).tolist()
                 out[1] += [i] * first
                 out[2] += [comp] * first
                 out[3] += [n] * first
                 out[4] += range(1, first + 1)
-            tokens = np.concatenate(out[0]) if out[0] else np.empty(0, np.int64)
-            yield pa.record_batch([pa.array(tokens, pa.int64()), *[pa.array(c, pa.int64()) for c in out[1:]]], ["token", "id", "comp", "n", "at"])
+                sketches.append(np.tile(sketch(x), (first, 1)))
+            marks = np.concatenate(sketches)
+            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in out], *[pa.array(marks[:, k]) for k in range(words)]], ["token", "id", "comp", "n", "at", *names])
 
-    listed = own.select("id", "comp", "shingles").mapInArrow(run, "token long, id long, comp long, n long, at long")
-    listed = listed.filter("id is not null")
+    listed = own.select("id", "comp", "shingles").mapInArrow(run, "token long, id long, comp long, n long, at long, " + ", ".join(f"{w} long" for w in names))
     x, y = listed.alias("x"), listed.alias("y")
     need = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     smaller = F.expr(f"x.at <= x.n - ({2 * percent} * x.n + {99 + percent}) div {100 + percent} + 1")
     met = x.filter(smaller).join(
         y,
         (F.col("x.token") == F.col("y.token")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & (F.col("x.comp") != F.col("y.comp"))
-        & (100 * F.col("x.n") >= percent * F.col("y.n")) & (1 + F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= need),
+        & (100 * F.col("x.n") >= percent * F.col("y.n")) & (1 + F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= need) & (differ <= most),
     )
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
