@@ -10,7 +10,8 @@ FULL_WIDTH, HALF_WIDTH = "　０１２３４５６７８９．", " 0123456789."
 CLAUSE_HEAD = r"^\s*(\d+(?:\.\d+){1,3}(?:-[0-9a-zA-Z]+)?)\s+(.*)$"
 CHAPTER_HEAD = r"^\s*第?(\d{1,2})\s*章?\s+([^\d\s][^\d]{0,29})$"
 STANDARD_NO = r"[A-Z]{2,}(?:/[A-Z]+)?[ \t]*[A-Z]{0,2}\d+(?:\.\d+)?-(?:19|20)\d{2}"
-STANDARD_FAMILY = r"(GB|JTG|JTJ|TB|JGJ|CJJ|DL|SL|YB)(/T)?\s*([A-Z]?\d{2,5})(-\d{4})?"
+FAMILIES = "GB|JTG|JTJ|TB|JGJ|CJJ|DL|SL|YB"
+STANDARD_FAMILY = rf"({FAMILIES})(/T)?\s*([A-Z]?\d{{2,5}})(-\d{{4}})?"
 VALID_CLAUSE = r"^\d+(\.\d+){1,3}(-[0-9a-zA-Z]+)?$"
 CLAUSE_IN_TEXT = r"\d+(?:\.\d+){1,3}(?:-[0-9a-zA-Z]+)?"
 TABLE_INTENT = "表|限值|指标|单位|数值|取值|不应小于|不应大于"
@@ -70,7 +71,7 @@ def find_standard_no(text: Column) -> Column:
 
 def normalize_standard_no(number: Column) -> Column:
     """One space between prefix and number, white space collapsed and trimmed."""
-    spaced = F.regexp_replace(number, r"^\s*([A-Z]{2,}(?:/T)?)\s*([A-Z]?\d)", "$1 $2")
+    spaced = F.regexp_replace(number, rf"^\s*((?:{FAMILIES})(?:/T)?|[A-Z]{{2,}}(?:/T)?)\s*([A-Z]?\d)", "$1 $2")
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 
