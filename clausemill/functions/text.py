@@ -161,7 +161,8 @@ def markdown_table(rows: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; a run of CJK characters gives its bigrams (a single one itself)."""
-    runs = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    runs = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     cjk = r"^[\p{IsHan}]+$"
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda k: F.substring(t, k, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda t: F.when(t.rlike(cjk) & (F.length(t) > 2), pairs(t)).otherwise(F.array(t))))
+    split = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(cjk) & (F.length(t) > 2), pairs(t)).otherwise(F.array(t))))
+    return F.when(text.rlike(r"\p{IsHan}{3}"), split).otherwise(runs)  # most texts need no second look
