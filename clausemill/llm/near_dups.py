@@ -145,10 +145,13 @@ def hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
 
 
 def colliding(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs with MATCHES equal tokens or more whose sizes admit the threshold."""
+    """The pairs with MATCHES equal tokens or more whose sizes admit the threshold.
+
+    Here and below, what grows with the corpus is merged at any size, so that a plan for few rows is the plan for many.
+    """
     tokens = reps.select("id", "tokens", "n_shingles")
-    left = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n_shingles").alias("na")), "a")
-    both = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n_shingles").alias("nb")), "b")
+    left = pairs.hint("merge").join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n_shingles").alias("na")), "a")
+    both = left.hint("merge").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n_shingles").alias("nb")), "b")
     near = F.aggregate(F.zip_with("ta", "tb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) >= MATCHES
     return both.filter(near & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
 
@@ -178,7 +181,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
     roles = dealt.select(F.col("b").alias("id"), F.col("a").alias("hub"), "salt").unionByName(dealt.select(F.col("a").alias("id"), F.col("a").alias("hub"), "salt").distinct())
-    sent = sets.join(roles, "id").select("hub", "salt", "id", "shingles")
+    sent = sets.join(roles.hint("merge"), "id").select("hub", "salt", "id", "shingles")
     placed = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("id") != F.col("hub"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,7 @@ def set_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shingle, and what is left after it in both sets must be enough for the overlap. Its place in the smaller set is
     bounded by the overlap of sets of its own size, in the larger by that of the smallest admitted.
     """
-    own = members.join(sets, "id")
+    own = members.hint("merge").join(sets, "id")
     shared = members.sparkSession.sparkContext.broadcast(frequencies(own))
     words = SKETCH_BITS // 64
     names = [f"b{k}" for k in range(words)]
