@@ -31,10 +31,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/clausemill-{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -44,6 +46,10 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.names if n not in names])
+        self.names = list(names)
+
 
 def word_count(text: Column) -> Column:
     """Number of WORD runs; 0 for null."""

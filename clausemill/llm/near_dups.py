@@ -338,7 +338,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             parents = connected(links, scratch, f"cc-{turn}")
     classed = with_component(reps.select("id"), parents)
     smallest = classed.join(reps.select("id", "doc_id"), "id").groupBy("comp").agg(F.min("doc_id").alias("component"))
-    named = classed.join(smallest, "comp").select(F.col("id").alias("node"), "component")
+    named = scratch.put(classed.join(smallest, "comp").select(F.col("id").alias("node"), "component"), "named")
+    scratch.drop_all_but("signed", "named")
     return (
         signed.drop("tokens").join(named, "node", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
