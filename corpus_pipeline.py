@@ -56,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.put(docs, f"stage-{k}")
+            scratch.drop_all_but(f"stage-{k}")
     return docs
