@@ -1,8 +1,8 @@
 """Kneser-Ney character models of words, counted by Spark and stored in sorted hash arrays.
 
 Characters are hashed to SYMBOLS classes, so a model has at most SYMBOLS ** ORDER n-grams, however large the corpus is: that bounds what
-is gathered on the driver and broadcast. N-grams stay inside a word, with boundaries around it; a word's score therefore is its own, and
-a task scores every distinct word once.
+is gathered on the driver and broadcast. N-grams of Tally and WordScores stay inside a word, with boundaries around it; a word's score
+therefore is its own, and a task scores every distinct word once. Those of context_blocks run on across words.
 """
 
 from __future__ import annotations
@@ -52,6 +52,24 @@ def padded(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[owner + np.arange(lengths.sum())], lengths
 
 
+def context_blocks(streams: list[str], table: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram keys, number of the stream of each) by blocks of positions, with words in context: a stream is words with a boundary after each."""
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams)) + ORDER - 1
+    points = np.frombuffer("".join("\0" * (ORDER - 1) + s for s in streams).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = table[points]
+    symbols[points == 0] = 0
+    owner = np.repeat(np.arange(len(streams), dtype=np.int32), sizes)
+    scored, starts = np.ones(len(symbols), bool), np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
+    for k in range(ORDER - 1):
+        scored[starts + k] = False
+    for first in range(ORDER - 1, len(symbols), step):
+        end = min(first + step, len(symbols))
+        keys = symbols[first:end].astype(np.int32)
+        for k in range(1, ORDER):
+            keys |= symbols[first - k : end - k].astype(np.int32) << (BITS * k)
+        yield keys[scored[first:end]], owner[first:end][scored[first:end]]
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys and their sums."""
     order = np.argsort(keys, kind="stable")
@@ -182,7 +200,12 @@ class Model:
 
 def train(texts: DataFrame, lower: bool = True) -> Model:
     """A model for each grp of (grp, text); groups in code point order."""
-    table = counted(texts, lower).toArrow().combine_chunks()
+    return model_from(counted(texts, lower))
+
+
+def model_from(counts: DataFrame) -> Model:
+    """A model for each grp of (grp, gram, n)."""
+    table = counts.toArrow().combine_chunks()
     names = table.column("grp").to_pylist()
     groups = sorted(set(names))
     number = {g: k for k, g in enumerate(groups)}

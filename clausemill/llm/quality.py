@@ -1,9 +1,9 @@
 """Quality rules with n-gram perplexity bands.
 
-Spark counts character n-grams of all documents' words by language; modified Kneser-Ney models of these stand in sorted hash arrays. Each
-word of a document is scored by the language that explains it best, so quoted foreign text is no fault, and the document's
-cross-entropy (log-perplexity) a character is held against its language's band: the median of all documents of the language, plus and minus
-WIDTH robust deviations.
+Spark counts character n-grams, across words, by language; modified Kneser-Ney models of these stand in sorted hash arrays. A document is
+scored by its own language, and its cross-entropy (log-perplexity) a character is held against the language's band: the median of the
+language's documents, plus and minus WIDTH robust deviations. Models and bands are of documents that pass the base rules and have few marks
+(ODD_PERCENT), so that junk neither teaches the model nor widens the band; a language without such documents takes those that pass.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import Scratch
 MIN_WORDS, MAX_REPEATED_PERCENT, REPEAT_WINDOW = 50, 50, 3
 MARKS = b"#*$%&|<>"
 WIDTH = 6.0
+#: Marks to a hundred words, beyond which a document doesn't count for models and bands. It is scored like all others.
+ODD_PERCENT = 10
 #: A robust deviation is taken as this share of the median at least, so that a language that consists of copies keeps a band.
 LEAST_DEVIATION = 0.01
 
@@ -56,26 +58,70 @@ def dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def base_metrics(words: kn.WordScores, texts: list[bytes | None]) -> Iterator[tuple[tuple[int, ...], str]]:
+    """METRICS of each text and its words as a stream of kn.context_blocks."""
+    lists = [text.split() if text else [] for text in texts]
+    for text, own, ids in zip(texts, lists, words.ids(lists), strict=True):
+        if not own:
+            yield (0, 0, 0, 0, 0), ""
+            continue
+        symbols = len(text) - len(text.translate(None, MARKS))
+        yield (len(ids), int(words.sizes[ids].sum()), symbols, dup_lines(text), repeated_words(dense(ids))), (b"\0".join(own) + b"\0").decode("utf-8", "replace")
+
+
+def fails(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(grp, odd, gram, n) of the documents of (grp string, text string) that pass the base rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, table = kn.WordScores(kn.Model([], []), lower=False), kn.symbol_table()
+        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            groups, texts, at = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), 0
+            for part in kn.in_parts(texts):
+                streams: dict[tuple[str, bool], list[str]] = {}
+                for group, (m, stream) in zip(groups[at : at + len(part)], base_metrics(words, part), strict=True):
+                    if not fails(m[0], m[4]):
+                        streams.setdefault((group, 100 * m[2] > ODD_PERCENT * m[0]), []).append(stream)
+                at += len(part)
+                for key, own in streams.items():
+                    for grams, _ in kn.context_blocks(own, table):
+                        fresh = np.unique(grams, return_counts=True)
+                        old = held.get(key)
+                        held[key] = kn.summed(np.concatenate((old[0], fresh[0])), np.concatenate((old[1], fresh[1]))) if old else fresh
+        for (group, odd), (grams, n) in held.items():
+            yield pa.record_batch([pa.array([group] * len(grams), pa.string()), pa.array([odd] * len(grams), pa.bool_()), pa.array(grams), pa.array(n)], ["grp", "odd", "gram", "n"])
+
+    return docs.mapInArrow(run, "grp string, odd boolean, gram int, n long").groupBy("grp", "odd", "gram").agg(F.sum("n").alias("n"))
+
+
 def measured(docs: DataFrame, model: kn.Model) -> DataFrame:
-    """`docs` (with text) and MEASURED; cm_entropy is null for a text without words."""
+    """`docs` (with lang and text) and MEASURED; cm_entropy is null for a text without words or of a language without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = docs.columns.index("text")
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kn.WordScores(shared.value, lower=False)
+        own = shared.value
+        words, table, number = kn.WordScores(kn.Model([], []), lower=False), kn.symbol_table(), {g: k for k, g in enumerate(own.groups)}
         for batch in batches:
             rows: list[tuple] = []
+            langs, at = batch.column(lang_at).to_pylist(), 0
             for part in kn.in_parts(batch.column(text_at).cast(pa.binary()).to_pylist()):
-                lists = [text.split() if text else [] for text in part]
-                for text, ids in zip(part, words.ids(lists), strict=True):
-                    if not len(ids):
-                        rows.append((0, 0, 0, 0, 0, None))
-                        continue
-                    chars = int(words.sizes[ids].sum())
-                    symbols = len(text) - len(text.translate(None, MARKS))
-                    entropy = -float(words.scores[ids].max(axis=1).sum(dtype=np.float64)) / (chars + len(ids)) if words.scores.shape[1] else None
-                    rows.append((len(ids), chars, symbols, dup_lines(text), repeated_words(dense(ids)), entropy))
+                found = list(base_metrics(words, part))
+                group = np.array([number.get(lang or "", -1) for lang in langs[at : at + len(part)]], np.int64)
+                at += len(part)
+                total = np.zeros(len(part))
+                if number:
+                    for keys, owner in kn.context_blocks([stream for _, stream in found], table):
+                        distinct, where = np.unique(keys, return_inverse=True)
+                        logs = np.log(own.probability(distinct.astype(np.int64), kn.ORDER))
+                        total += np.bincount(owner, logs[where, group[owner]], len(part))
+                for k, (m, stream) in enumerate(found):
+                    rows.append((*m, -float(total[k]) / len(stream) if stream and group[k] >= 0 else None))
             kinds = [pa.int64()] * 5 + [pa.float64()]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, *[f"cm_{m}" for m in METRICS], "cm_entropy"])
@@ -87,8 +133,16 @@ def base_failed() -> Column:
     return (F.col("cm_n_words") < MIN_WORDS) | (100 * F.col("cm_n_repeat_words") > MAX_REPEATED_PERCENT * F.col("cm_n_words"))
 
 
-def model_of(docs: DataFrame) -> kn.Model:
-    return kn.train(docs.select(F.coalesce("lang", F.lit("")).alias("grp"), "text"), lower=False)
+def odd() -> Column:
+    return 100 * F.col("cm_n_symbols") > ODD_PERCENT * F.col("cm_n_words")
+
+
+def model_of(docs: DataFrame, scratch: Scratch) -> tuple[kn.Model, list[str]]:
+    """The model, and the languages that have odd documents only."""
+    counts = scratch.put(counted(docs.select(F.coalesce("lang", F.lit("")).alias("grp"), "text")), "grams")
+    plain = {r["grp"]: r["plain"] for r in counts.groupBy("grp").agg(F.bool_or(~F.col("odd")).alias("plain")).collect()}
+    only_odd = sorted(g for g, p in plain.items() if not p)
+    return kn.model_from(counts.filter(~F.col("odd") | F.col("grp").isin(only_odd)).drop("odd")), only_odd
 
 
 def bands(entropies: DataFrame) -> DataFrame:
@@ -107,26 +161,26 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return met.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
-def _limits(docs: DataFrame, model: kn.Model, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    rows = scratch.put(measured(docs.select("doc_id", "lang", "text"), model).drop("text"), "measured")
-    return rows, scratch.put(bands(rows.filter(~base_failed())), "bands")
+def _measured(docs: DataFrame, scratch: Scratch, *without: str) -> tuple[DataFrame, DataFrame]:
+    """The written MEASURED rows of `docs` without some columns, and the bands."""
+    model, only_odd = model_of(docs, scratch)
+    rows = scratch.put(measured(docs, model).drop(*without), "measured")
+    return rows, scratch.put(bands(rows.filter(~base_failed() & (~odd() | F.coalesce("lang", F.lit("")).isin(only_odd)))), "bands")
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, entropy, low, high for each row of `docs` (doc_id, lang, text).
 
-    Null or empty text: no words, base_failed, not kept. Null lang: a language of its own. The bands are measured on the documents that
+    Null or empty text: no words, base_failed, not kept. Null lang: a language of its own. Models and bands are of documents that
     pass the base rules; a document whose language has none of these isn't kept either, as it then failed them. Repeated
     rows each count. No rows: no rows. Languages are few: a model and a band for each are broadcast.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    rows, limits = _limits(docs, model_of(docs), scratch)
+    rows, limits = _measured(docs.select("doc_id", "lang", "text"), scratch, "text")
     return judged(rows, limits).select("doc_id", *[F.col(f"cm_{m}").alias(m) for m in METRICS], "base_failed", "kept", F.col("cm_entropy").alias("entropy"), "low", "high")
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep. The rows are measured again instead of joined by doc_id, so that null and repeated ids are no matter."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    model = model_of(docs)
-    _, limits = _limits(docs, model, scratch)
-    return judged(measured(docs, model), limits).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that the rules keep. They are written with their measures, as a join by doc_id fails on null and repeated ids."""
+    rows, limits = _measured(docs, Scratch(docs.sparkSession, "quality"))
+    return judged(rows, limits).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -151,6 +151,27 @@ def test_quality_keeps_clean_and_rejects_shouting(spark):
     assert kept == set(range(200))
 
 
+def test_quality_rejects_junk_that_is_common(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality.rules(d).filter("not base_failed").join(l, "doc_id").select("quality", "kept").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == k] for k in (0, 1))
+    assert len(junk) > 20 and sum(junk) <= 0.02 * len(junk) and sum(clean) >= 0.98 * len(clean)
+
+
+def test_quality_takes_words_in_context(spark):
+    rng = random.Random(4)
+    clean = [(k, " ".join("".join(rng.choices("mnop" if j % 2 else "abcd", k=6)) for j in range(120)), "en", "a", 0) for k in range(200)]
+    mixed = [(1000 + k, " ".join(sorted(clean[k][1].split())), "en", "a", 0) for k in range(4)]
+    entropy = {r.doc_id: r.entropy for r in quality.rules(spark.createDataFrame(clean + mixed, DOCS)).collect()}
+    assert min(entropy[1000 + k] for k in range(4)) > max(entropy[k] for k in range(200))
+
+
+def test_context_blocks_do_not_depend_on_their_size():
+    streams, table = ["one\0two\0", "", "été\0", "x\0" * 50], kneser_ney.symbol_table()
+    whole, cut = (list(zip(*(np.concatenate(x).tolist() for x in zip(*kneser_ney.context_blocks(streams, table, step), strict=True)), strict=True)) for step in (1 << 20, 7))
+    assert whole == cut and collections.Counter(k for _, k in whole) == {0: 8, 2: 4, 3: 100}
+
+
 def test_quality_odd(odd, none):
     rows = quality.rules(odd).collect()
     assert len(rows) == len(ODD) and all(r.base_failed and not r.kept for r in rows)
