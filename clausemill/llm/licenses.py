@@ -1,13 +1,15 @@
 """License scans: a paragraph classifier on sparse word n-grams, confirmed against templates.
 
 A multinomial logistic regression over word 1- to 3-grams is trained on the families' notices, with variations, and on sentences that
-only sound alike as the class unknown. A paragraph is a line, or a run of neighbouring lines with a word of the trained
-vocabulary that isn't a stop word; a line without such a word has no feature and is unknown. The accepted probability is calibrated on
-the look-alikes, and a prediction stands if enough of a template's word pairs are in the paragraph.
+only sound alike as the class unknown. A paragraph is a line with a word of the trained vocabulary that isn't a stop word, or a window of
+words, within a line or across lines, that holds enough of a template's word pairs. The accepted probability is calibrated on
+the look-alikes, and a prediction stands if enough of a template's word pairs are in the paragraph. Of paragraphs that overlap in these
+pairs, the one that holds most of them counts.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Least probability of a family, share of a template's word pairs that must occur, lines joined to a paragraph at most.
-LEAST, CONFIRM, JOINED = 0.5, 0.6, 40
+#: Least probability of a family, share of a template's word pairs that must occur, words of a window for each word pair of its template.
+LEAST, CONFIRM, REACH = 0.5, 0.6, 2
 
 # Notices by family.
 NOTICES = {
@@ -132,39 +134,85 @@ def train(notices: dict[str, list[str]] = NOTICES, look_alikes: list[str] = LOOK
     return model
 
 
-def paragraphs(text: bytes, anchors: set[bytes]) -> Iterator[list[bytes]]:
-    """Words of lines with an anchor, and of runs of up to JOINED such neighbouring lines."""
-    run: list[list[bytes]] = []
-    for line in text.split(b"\n"):
-        words = words_of(line)
-        if anchors.isdisjoint(words):
-            if len(run) > 1:
-                yield [w for x in run for w in x]
-            run = []
-            continue
-        yield words
-        if len(run) >= JOINED:
-            run.pop(0)
-        run.append(words)
-    if len(run) > 1:
-        yield [w for x in run for w in x]
+class Scanner:
+    """Finds the notices of texts, each once."""
+
+    def __init__(self, model: LicenseModel):
+        self.model, self.anchors = model, model.anchors()
+        self.templates = [(family, pairs) for family in model.families[:-1] for pairs in model.pairs[family]]
+        self.owners: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+        for t, (_, pairs) in enumerate(self.templates):
+            for pair in pairs:
+                self.owners[pair].append(t)
+
+    def windows(self, hits: list[tuple[int, tuple[bytes, bytes]]], size: int) -> Iterator[tuple[int, int]]:
+        """(first, end) in words of the windows with at least CONFIRM of a template's `size` pairs; of those that overlap, the one with most."""
+        inside: Counter[tuple[bytes, bytes]] = Counter()
+        end, best, reach = 0, (0, 0, 0), REACH * size
+        for first, (at, pair) in enumerate(hits):
+            while end < len(hits) and hits[end][0] < at + reach:
+                inside[hits[end][1]] += 1
+                end += 1
+            if best[0] and at >= best[2]:
+                yield best[1:]
+                best = (0, 0, 0)
+            if len(inside) >= CONFIRM * size and len(inside) > best[0]:
+                best = (len(inside), at, hits[end - 1][0] + 2)
+            inside[pair] -= 1
+            if not inside[pair]:
+                del inside[pair]
+        if best[0]:
+            yield best[1:]
+
+    def notices(self, text: bytes) -> list[tuple[str, float]]:
+        """(family, probability) of each notice."""
+        lines = [words_of(line) for line in text.split(b"\n")]
+        words = [w for line in lines for w in line]
+        starts = np.r_[0, np.cumsum([len(line) for line in lines])]
+        hits: dict[int, list[tuple[int, tuple[bytes, bytes]]]] = defaultdict(list)
+        for at, pair in enumerate(zip(words, words[1:], strict=False)):
+            for t in self.owners.get(pair, ()):
+                hits[t].append((at, pair))
+        if not hits:
+            return []
+        found = {(int(starts[k]), int(starts[k + 1])) for k, line in enumerate(lines) if not self.anchors.isdisjoint(line)}
+        for t, own in hits.items():
+            size = len(self.templates[t][1])
+            if len(own) >= CONFIRM * size:
+                for first, end in self.windows(own, size):
+                    a, b = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, end)
+                    found |= {(first, end), (int(starts[a]), int(starts[b]))}
+        accepted = []
+        for first, end in found:
+            family, p = self.model.classify(words[first:end])
+            if family != UNKNOWN:
+                pairs = max(self.model.pairs[family], key=lambda t: len(t.intersection(zip(words[first:end], words[first + 1 : end], strict=False))))
+                met: dict[tuple[bytes, bytes], int] = {}
+                for at in range(first, end - 1):
+                    if (words[at], words[at + 1]) in pairs:
+                        met.setdefault((words[at], words[at + 1]), at)
+                accepted.append((-len(met), end - first, first, family, p, met.values()))
+        out, taken = [], set()
+        for _, _, _, family, p, places in sorted(accepted, key=lambda x: x[:4]):
+            if 2 * sum(at in taken for at in places) < len(places):
+                out.append((family, p))
+                taken.update(places)
+        return out
 
 
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """doc_id, families (sorted, comma-joined, empty if none), n_paragraphs (accepted), score (highest probability of an accepted one, else 0) for each row of `docs` (doc_id, text).
+    """doc_id, families (sorted, comma-joined, empty if none), n_paragraphs (accepted, each notice once), score (highest probability of an accepted one, else 0) for each row of `docs` (doc_id, text).
 
     Null or empty text: none. Null ids and repeated rows pass through. No rows: no rows. Whole texts are scanned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        anchors = own.anchors()
+        scanner = Scanner(shared.value)
         for batch in batches:
             families, counts, scores = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                met = [own.classify(words) for words in paragraphs(text or b"", anchors)]
-                accepted = [m for m in met if m[0] != UNKNOWN]
+                accepted = scanner.notices(text or b"")
                 families.append(",".join(sorted({f for f, _ in accepted})))
                 counts.append(len(accepted))
                 scores.append(max((p for _, p in accepted), default=0.0))

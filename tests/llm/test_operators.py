@@ -290,6 +290,25 @@ def test_licences_in_documents(spark, documents):
     assert all("MIT" in r.families.split(",") for r in found)
 
 
+@pytest.mark.parametrize("at", [0, 150, 299])
+@pytest.mark.parametrize("width", [3, 9])
+def test_wrapped_licences_in_a_long_run(at, width):
+    scanner = licenses.Scanner(licenses.train())
+    run = [f"many new things came again last year, number {k}" for k in range(300)]
+    assert scanner.notices("\n".join(run).encode()) == []
+
+    def wrapped(notice):
+        w = notice.split()
+        return [" ".join(w[k : k + width]) for k in range(0, len(w), width)]
+
+    for family, other in (("MIT", "GPL-3.0"), ("GPL-3.0", "BSD"), ("BSD", "ISC"), ("ISC", "MIT")):
+        longest = [max(licenses.NOTICES[f], key=len) for f in (family, other)]
+        text = "\n".join([*run[:at], *wrapped(longest[0]), *run[at:], *wrapped(longest[1])])
+        assert sorted(f for f, _ in scanner.notices(text.encode())) == sorted([family, other])
+        joined = "\n".join([*run[:at], *wrapped(" ".join(longest)), *run[at:]])
+        assert sorted(f for f, _ in scanner.notices(joined.encode())) == sorted([family, other])
+
+
 # 7 decontamination
 
 
