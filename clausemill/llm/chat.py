@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Scratch, held_out
 
 ROLES = ("system", "user", "assistant")
-#: Turns decoded together at most; a longer conversation is decoded piece by piece, each after its own start.
+#: Turns of a piece at most. Pieces are scored apart for each role before and after them, and the roles at their edges are then chosen over the whole conversation.
 PIECE = 256
 
 # Speaker names as transcripts spell them.
@@ -71,29 +71,53 @@ class ChatModel:
                 total += self.emit.get((role, first, f), self.unseen.get((role, first, kind), -6.0))
         return total
 
-    def decode(self, turns: list[str], opening: bool = True) -> list[str]:
-        """Roles of a run of turns, by Viterbi; at ties the role that stands first in ROLES."""
+    def turn(self, text: str, opening: bool) -> dict[str, float]:
+        lines = (text or "").split("\n")
+        return {r: sum(self.line(r, j == 0, observations(x, j == 0, opening, len(text or ""))) for j, x in enumerate(lines)) for r in ROLES}
+
+    def decode(self, turns: list[str], opening: bool = True, before: str | None = None, last: str | None = None) -> list[str]:
+        """Roles of a run of turns, by Viterbi; at ties the role that stands first in ROLES. `before` is the role of the turn before the run, `last` that of its last turn, where these are known."""
         best: list[dict[str, tuple[float, str]]] = []
         for k, text in enumerate(turns):
-            lines = (text or "").split("\n")
-            own = {}
-            for role in ROLES:
-                own[role] = sum(self.line(role, j == 0, observations(x, j == 0, opening and k == 0, len(text or ""))) for j, x in enumerate(lines))
+            own = self.turn(text, opening and k == 0)
             if not k:
-                best.append({r: (own[r] + self.start.get(r, -9.0), "") for r in ROLES})
+                best.append({r: (own[r] + (self.start.get(r, -9.0) if before is None else self.move.get((before, r), -9.0)), "") for r in ROLES})
                 continue
             step = {}
             for r in ROLES:
-                before = max(ROLES, key=lambda q, r=r: best[-1][q][0] + self.move.get((q, r), -9.0))
-                step[r] = (best[-1][before][0] + self.move.get((before, r), -9.0) + own[r], before)
+                prior = max(ROLES, key=lambda q, r=r: best[-1][q][0] + self.move.get((q, r), -9.0))
+                step[r] = (best[-1][prior][0] + self.move.get((prior, r), -9.0) + own[r], prior)
             best.append(step)
         out: list[str] = []
-        role = max(ROLES, key=lambda r: best[-1][r][0]) if best else ""
+        role = (last or max(ROLES, key=lambda r: best[-1][r][0])) if best else ""
         for k in range(len(best) - 1, -1, -1):
             out.append(role)
             role = best[k][role][1]
         return out[::-1]
 
+    def transfer(self, turns: list[str]) -> list[float]:
+        """Best scores of a run of turns that ends in each role: as a conversation's beginning, then after each role. (1 + roles) x roles."""
+        first, opened = self.turn(turns[0], False), self.turn(turns[0], True)
+        rows = [[self.start.get(r, -9.0) + opened[r] for r in ROLES], *[[self.move.get((q, r), -9.0) + first[r] for r in ROLES] for q in ROLES]]
+        for text in turns[1:]:
+            own = self.turn(text, False)
+            rows = [[max(x + self.move.get((q, r), -9.0) for q, x in zip(ROLES, row, strict=True)) + own[r] for r in ROLES] for row in rows]
+        return [x for row in rows for x in row]
+
+
+def edges(pieces: list[list[float]]) -> list[tuple[str | None, str]]:
+    """(role before, last role) of each piece of a conversation on its likeliest path, from the pieces' transfer()."""
+    n, score, back = len(ROLES), pieces[0][: len(ROLES)], []
+    for p in pieces[1:]:
+        ways = [[score[q] + p[n + n * q + r] for q in range(n)] for r in range(n)]
+        back.append([w.index(max(w)) for w in ways])
+        score = [max(w) for w in ways]
+    at, out = score.index(max(score)), []
+    for pointers in reversed(back):
+        out.append((ROLES[pointers[at]], ROLES[at]))
+        at = pointers[at]
+    return [*out, (None, ROLES[at])][::-1]
+
 
 def learn(turns: DataFrame) -> ChatModel:
     """Counts features and role successions of turns (conv_id, turn, role, text) whose conversation isn't held out; the counts' number is bounded by the features."""
@@ -149,22 +173,23 @@ def format_chats(turns: DataFrame, model: ChatModel) -> DataFrame:
     """conv_id, piece, n_turns, roles (comma-joined), n_agree (turns whose given role was recovered), chat for each piece of a conversation.
 
     Turns are ordered by number, then by text; their given roles are only compared with. Null text: an empty turn. Null turn: first.
-    Null conv_id: each row is a conversation. Unknown given roles never agree. Repeated rows are turns of their own. No rows: no rows.
+    Null conv_id: each row is a conversation. Roles are those of the likeliest path of the whole conversation, of any length. Unknown given roles never agree. Repeated rows are turns of their own. No rows: no rows.
     """
     shared = turns.sparkSession.sparkContext.broadcast(model)
     alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
     keyed = turns.select(F.col("conv_id").cast("long").alias("conv_id"), alone.alias("alone"), F.floor(F.coalesce("turn", F.lit(0)) / PIECE).cast("long").alias("part"), "turn", "role", "text")
     placed = keyed.repartition("conv_id", "alone", "part").sortWithinPartitions("conv_id", "alone", "part", "turn", "text", "role")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key, held, piece = shared.value, None, [], 0
         out: list[tuple] = []
 
         def close() -> None:
             nonlocal piece
             if held:
-                roles = own.decode([t for _, t in held], opening=key[2] == 0 and piece == 0)
-                out.append((key[0], key[2] + piece, len(held), ",".join(roles), sum(r == g for r, (g, _) in zip(roles, held, strict=True)), rendered(roles, [t for _, t in held])))
+                texts = [t for _, t in held]
+                # rows of the same hash without conv_id are conversations of their own
+                out.append((*key, piece, f"{key[0]} {key[1]} {key[2]} {piece}", [g for g, _ in held], texts, own.transfer(texts)))
                 held.clear()
                 piece += 1
 
@@ -175,12 +200,55 @@ def format_chats(turns: DataFrame, model: ChatModel) -> DataFrame:
                     if (conv, alone, part) != key:
                         key, piece = (conv, alone, part), 0
                 held.append((role, text or ""))
-            yield batch_of(out)
+            yield pieces_of(out)
+            out.clear()
+        close()
+        yield pieces_of(out)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, held = None, [], []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                out.extend((name, *edge) for name, edge in zip(names, edges(held), strict=True))
+                names.clear()
+                held.clear()
+
+        def batch_out() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array([r[k] for r in out], pa.string()) for k in range(3)], ["name", "before", "last"])
             out.clear()
+            return made
+
+        for batch in batches:
+            for conv, alone, name, scores in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True):
+                if (conv, alone) != key or alone is not None:
+                    close()
+                    key = (conv, alone)
+                names.append(name)
+                held.append(scores)
+            yield batch_out()
         close()
-        yield batch_of(out)
+        yield batch_out()
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            out = []
+            for conv, at, given, texts, before, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                roles = own.decode(texts, before is None, before, last)
+                out.append((conv, at, len(texts), ",".join(roles), sum(r == g for r, g in zip(roles, given, strict=True)), rendered(roles, texts)))
+            yield batch_of(out)
+
+    pieces = Scratch(turns.sparkSession, "chat").put(placed.mapInArrow(cut, "conv_id long, alone long, part long, piece long, name string, given array<string>, texts array<string>, scores array<double>"), "pieces")
+    chosen = pieces.select("conv_id", "alone", "part", "piece", "name", "scores").repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "part", "piece").mapInArrow(choose, "name string, before string, last string")
+    whole = pieces.join(chosen, "name").select("conv_id", (F.col("part") + F.col("piece")).alias("piece"), "given", "texts", "before", "last")
+    return whole.mapInArrow(render, "conv_id long, piece long, n_turns long, roles string, n_agree long, chat string")
+
 
-    return placed.mapInArrow(run, "conv_id long, piece long, n_turns long, roles string, n_agree long, chat string")
+def pieces_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64()))
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["conv_id", "alone", "part", "piece", "name", "given", "texts", "scores"])
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:

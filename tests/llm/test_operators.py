@@ -107,6 +107,18 @@ def test_chat_odd(spark):
     assert chat.format_chats(t.limit(0), chat.learn(t.limit(0))).count() == 0
 
 
+def test_long_chats_are_decoded_whole(spark, monkeypatch):
+    rng = random.Random(6)
+    model = chat.learn(spark.read.parquet(f"{SF}/conversations.parquet"))
+    rows = [(1, k, None, rng.choice(["ok", "Yes.", "why?", "it is so", "- a list"])) for k in range(3, 700)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = model.decode([r[3] for r in rows])
+    for size in (256, 2):
+        monkeypatch.setattr(chat, "PIECE", size)
+        got = sorted(chat.format_chats(t, model).collect(), key=lambda r: r.piece)
+        assert len(got) > 2 and [x for r in got for x in r.roles.split(",")] == want
+
+
 # 3 tokens
 
 
