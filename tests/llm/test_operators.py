@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from clausemill.llm.common import Scratch
 from clausemill.llm import chat, decontaminate, html_text, kneser_ney, langid, licenses, mixing, near_dups, quality, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -178,10 +179,24 @@ def test_quality_takes_words_in_context(spark):
     assert min(entropy[1000 + k] for k in range(4)) > max(entropy[k] for k in range(200))
 
 
-def test_context_blocks_do_not_depend_on_their_size():
-    streams, table = ["one\0two\0", "", "été\0", "x\0" * 50], kneser_ney.symbol_table()
-    whole, cut = (list(zip(*(np.concatenate(x).tolist() for x in zip(*kneser_ney.context_blocks(streams, table, step), strict=True)), strict=True)) for step in (1 << 20, 7))
-    assert whole == cut and collections.Counter(k for _, k in whole) == {0: 8, 2: 4, 3: 100}
+def test_quality_rejects_shuffled_and_mislabelled_texts(spark):
+    """Sentences of four kinds of words, which differ in their beginnings and ends; another language has the same words in another order."""
+    rng = random.Random(9)
+    stems = ["".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra", "su", "to"]) for _ in range(3)) for _ in range(400)]
+    kinds = [[f"{first}{x}{end}" for x in stems[k :: 4]] for k, (first, end) in enumerate((("sh", "lix"), ("gr", "on"), ("ph", "ath"), ("wr", "un")))]
+
+    def text(order):
+        return " ".join(rng.choice(kinds[k]) for _ in range(60) for k in order)
+
+    def shuffled(t):
+        w = t.split()
+        rng.shuffle(w)
+        return " ".join(w)
+
+    clean = [(k, text((0, 1, 2, 3)), "en", "a", 0) for k in range(150)] + [(200 + k, text((3, 2, 1, 0)), "xx", "a", 0) for k in range(150)]
+    odd = [(1000 + k, shuffled(text((0, 1, 2, 3))), "en", "a", 0) for k in range(8)] + [(2000 + k, clean[k][1], "xx", "a", 0) for k in range(8)]
+    rows = quality.rules(spark.createDataFrame(clean + odd, DOCS).repartition(3)).collect()
+    assert not any(r.base_failed for r in rows) and {r.doc_id for r in rows if r.kept} == {r[0] for r in clean}
 
 
 def test_quality_odd(odd, none):
@@ -190,15 +205,90 @@ def test_quality_odd(odd, none):
     assert quality.rules(none).count() == 0 and quality.passing(none).count() == 0 and quality.passing(odd).columns == odd.columns
 
 
-def test_kneser_ney_sums_to_one():
-    tally = kneser_ney.Tally()
-    tally.add("x", [b"banana", b"bandana", b"anna", b"bn"] * 3)
-    tally.add("y", [b"kot", b"tok"])
-    counts = {b.column(0)[0].as_py(): (b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy()) for b in tally.rows()}
-    model = kneser_ney.Model.build(["x", "y"], counts)
-    for context in (0, counts["x"][0][3] >> 6, 12345):
-        keys = (context << 6) + np.arange(64)
-        assert np.allclose(model.probability(keys, 4).sum(axis=0), 1, atol=1e-3)
+def plain_kneser_ney(texts, order=5):
+    """Interpolated modified Kneser-Ney in plain Python: a function of (context, character), by the definition."""
+    grams = collections.Counter()
+    for t in texts:
+        s = " " * (order - 1) + " ".join(t.split()) + " "
+        grams.update(s[k - order + 1 : k + 1] for k in range(order - 1, len(s)))
+    levels = {order: dict(grams)}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    cuts = {k: [0.0, *kneser_ney.discounts([sum(n == j for n in levels[k].values()) for j in range(1, 5)])] for k in levels}
+
+    def probability(context, c):
+        if context is None:
+            return 1 / 0x110000
+        own = {g[-1]: n for g, n in levels[len(context) + 1].items() if g[:-1] == context}
+        less = probability(context[1:] if context else None, c)
+        if not own:
+            return less
+        d = cuts[len(context) + 1]
+        total = sum(own.values())
+        return max(own.get(c, 0) - d[min(3, own.get(c, 0))], 0) / total + sum(d[min(3, n)] for n in own.values()) / total * less
+
+    return probability
+
+
+@pytest.mark.parametrize("shard", [10**6, 40])
+def test_kneser_ney_by_the_definition(spark, monkeypatch, shard):
+    monkeypatch.setattr(kneser_ney, "SHARD_GRAMS", shard)
+    texts = {"x": ["banana bandana anna", "bn ана 😀 ban", "anna banana"], "y": ["kot tok", "Kot"]}
+    rows = [(g, t) for g, own in texts.items() for t in own]
+    scratch = Scratch(spark, "test")
+    model = kneser_ney.estimated(kneser_ney.counted(spark.createDataFrame(rows, "grp string, text string"), lower=False), scratch, "m")
+    assert model.groups == ["x", "y"] and (model.shards > 1) == (shard < 100)
+    streams = [kneser_ney.stream(t.encode(), False) for t in ["banana kot", "ана q", "", "😀" * 9, "zzz anna"]]
+    shards = [model.shard(k) for k in range(model.shards)]
+    for every in (True, False):
+        for j, g in enumerate(model.groups):
+            p = plain_kneser_ney(texts[g])
+            group = None if every else np.full(len(streams), j)
+            got = sum(kneser_ney.Scorer(x, every).totals(streams, group) for x in shards)[:, j if every else 0]
+            for s, total in zip(streams, got, strict=True):
+                padded = "    " + s
+                assert total == pytest.approx(sum(np.log(p(padded[k - 4 : k], padded[k])) for k in range(4, len(padded))), rel=1e-5, abs=1e-6)
+    p = plain_kneser_ney(texts["x"])
+    seen = set("".join(texts["x"]))
+    for context in ("    ", " ban", "zzzz"):
+        assert sum(p(context, c) for c in seen) + (0x110000 - len(seen)) * p(context, "@") == pytest.approx(1)
+    scratch.close()
+
+
+def test_scores_kept_by_hash_do_not_change(monkeypatch):
+    rng = random.Random(3)
+    keys = np.unique(kneser_ney.gram_hashes(np.array([[ord(c) for c in rng.choices("abc ", k=5)] for _ in range(300)], np.uint32)) + kneser_ney.group_hash(np.zeros(1, np.uint64)))
+    levels = [(np.empty(0, np.uint64), np.empty(0, np.float32))[:1] * 0 + (np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.uint64), np.empty(0, np.float32))] * 4 + [(keys, np.linspace(-3, -1, len(keys), dtype=np.float32), np.empty(0, np.uint64) + np.uint64(0), np.empty(0, np.float32))]
+    streams = ["".join(rng.choices("abc ", k=40)) for _ in range(50)]
+    levels[4] = (*levels[4][:2], keys[:1], np.zeros(1, np.float32))
+    roomy = kneser_ney.Scorer((0, 1, 1, -9.0, levels), True)
+    want = roomy.totals(streams)
+    monkeypatch.setattr(kneser_ney, "KEPT_BYTES", 1)
+    tight = kneser_ney.Scorer((0, 1, 1, -9.0, levels), True)
+    assert np.allclose(np.concatenate([tight.totals([s]) for s in streams]), want) and np.allclose(roomy.totals(streams), want)
+
+
+def test_tally_counts_what_occurs():
+    tally, want = kneser_ney.Tally(), collections.Counter()
+    for streams in (["one two "], ["", "été "], ["x " * 50, "one "]):
+        tally.add(("g",), streams)
+        for s in streams:
+            padded = "    " + s
+            want.update(padded[k - 4 : k + 1] for k in range(4, len(padded)))
+    assert {g: n for _, grams, counts in tally.batches() for g, n in zip(grams.tolist(), counts.tolist(), strict=True)} == want and tally.size == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, odd):
+    """Columns that are called as an operator's own."""
+    rng = random.Random(8)
+    d = spark.createDataFrame([(k, " ".join(rng.choices(["one", "two", "three", "four", "five", "six"], k=80)) + f" {k}", "en", "a", 0) for k in range(60)], DOCS)
+    names = ["low", "high", "kept", "limit", "rejected", "m", "row", "grp", "s", "entropy", "cm_items", "cm_spans", "lang_pred", "component_id", "node", "token", "id"]
+    for k, name in enumerate(names):
+        d = d.withColumn(name, d["n_chars"] + k)
+    bench = spark.createDataFrame([(1, "nothing of this kind occurs in them")], "item_id long, text string")
+    for stage in (quality.passing, langid.passing, near_dups.survivors, lambda x: decontaminate.clean(x, bench)):
+        rows = stage(d).collect()
+        assert rows and stage(d).columns == d.columns and all(r[name] == k for r in rows for k, name in enumerate(names))
 
 
 # 5 near duplicates
@@ -431,6 +521,17 @@ def test_language_held_out(spark):
     assert langid.passing(d).count() >= 0.99 * len(truth)
 
 
+def test_language_rejects_what_it_never_learnt(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(7)
+    strange = ["".join(rng.choice(["ka", "tu", "vaa", "mii", "hyö", "lle", "ssa", " ", " "]) for _ in range(200)), "".join(rng.choices("абвгдежзиклмнопрст    ", k=300)), "".join(rng.choices("qxzjkwvy    ", k=300))]
+    more = spark.createDataFrame([(10**6 + k, t, None, "a", 0) for k, t in enumerate(strange)], DOCS)
+    got = {r.doc_id: r.rejected for r in langid.identify(d.unionByName(more)).collect()}
+    assert all(got[10**6 + k] for k in range(len(strange))) and sum(got.values()) <= 0.01 * len(got) + len(strange)
+    left = {r.doc_id for r in langid.passing(d.unionByName(more)).collect()}
+    assert left == {i for i, r in got.items() if not r}
+
+
 def test_language_odd(odd, none, spark):
     by = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert by[1].lang_pred == by[2].lang_pred == by[3].lang_pred == by[9].lang_pred == "und" and by[5].lang_pred in ("en", "fr", "de") and by[8].lang_pred != "und"
