@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped, and each block of text becomes a line. A line weighs the characters of its text outside links, and
-nothing in places that hold no article text (menus, headers, footers, sidebars, notices, adverts, forms, comments). The weights of
-sliding windows of lines are summed; a surge point is where the sum leaves zero, a dive point where it falls back to
-zero. The text between the surge and dive points of the heaviest stretch is the main text, with the other
-stretches that lie in the same article element or reach a share of its weight.
+Markup is stripped, and each block of text becomes a line. A line weighs the characters of its text outside links (inside an article
+element, links outside of lists count too), and nothing in places that hold no article text: menus, headers, footers, sidebars, notices,
+adverts, forms, comments, and all that is outside of the article elements if there are any with text. The weights of sliding windows of LINES
+lines are summed; a surge point is the heavy line where the sum leaves zero, a dive point that where it falls back to zero. The text between
+all surge and dive points is the main text. So lines of links alone stay where text is near before and after them, and go as a menu would
+where LINES or more of them follow each other, or before the first and after the last text. No stretch is dropped for being short.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines summed in a window, link share from which a line outside an article weighs nothing, and share of the heaviest stretch's weight.
-LINES, LINK_SHARE, STRETCH_SHARE = 3, 0.5, 0.25
+#: Lines summed in a window.
+LINES = 3
+LISTS = {"li", "dd", "dt", "td", "th", "menu"}
 
 # HTML's element kinds.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "title", "textarea", "select", "object", "canvas", "xmp", "noembed", "noframes"}
@@ -45,10 +48,10 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 @dataclass
 class Line:
     text: str
-    weight: int  # characters outside links and places without article text
-    dropped: bool
+    plain: int  # characters outside links
+    dropped: bool  # in a place without article text
     article: int  # number of the article or main element around it, 0 outside of any
-    linked: bool
+    listed: bool
 
 
 def is_aside(tag: str, attributes: str, in_article: bool) -> bool:
@@ -76,7 +79,9 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     stack: list[tuple[str, bool, int]] = []  # open blocks: tag, whether text in it is dropped, article
     parts: list[str] = []
-    state = {"linked": 0, "link": 0, "articles": 0}
+    unlinked: list[str] = []
+    still: Counter[str] = Counter()  # open blocks by tag
+    state = {"link": 0, "articles": 0}
     at = 0
 
     def flush() -> None:
@@ -84,19 +89,20 @@ def lines_of(page: str) -> list[Line]:
         parts.clear()
         if text:
             dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            linked = state["linked"] > LINK_SHARE * len(text)
-            out.append(Line(text, 0 if dropped else max(0, len(text) - state["linked"]), dropped, article, linked))
-        state["linked"] = 0
+            plain = len("".join(html.unescape("".join(unlinked)).split()))
+            out.append(Line(text, plain, dropped, article, bool(stack) and stack[-1][0] in LISTS))
+        unlinked.clear()
 
     def add(raw: str) -> None:
         if raw:
             parts.append(raw)
-            if state["link"]:
-                state["linked"] += len(raw.strip())
+            if not state["link"]:
+                unlinked.append(raw)
 
     def pop(tag: str, within: set[str]) -> None:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == tag:
+                still.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in within:
@@ -111,7 +117,7 @@ def lines_of(page: str) -> list[Line]:
         if m[1]:
             if tag == "a":
                 state["link"] = 0
-            elif tag == "p" or tag in BLOCKS or any(s[0] == tag for s in stack):
+            elif tag == "p" or tag in BLOCKS or still[tag] > 0:
                 flush()
                 pop(tag, set())
             continue
@@ -132,7 +138,7 @@ def lines_of(page: str) -> list[Line]:
         flush()
         if tag in BLOCKS:
             while stack and stack[-1][0] == "p":
-                stack.pop()
+                still[stack.pop()[0]] -= 1
         if tag in CLOSED_BY_LIKE:
             pop(tag, CLOSED_BY_LIKE[tag])
         if tag in VOID or m[3].endswith("/"):
@@ -142,42 +148,33 @@ def lines_of(page: str) -> list[Line]:
             state["articles"] += 1
             article = state["articles"]
         stack.append((tag, dropped or aside, article))
+        still[tag] += 1
     add(page[at:])
     flush()
     return out
 
 
 def stretches(weights: list[int]) -> list[tuple[int, int]]:
-    """(from, to) of runs of lines between a surge and a dive point of the window sums; windows look ahead, so a run begins at its first heavy line."""
+    """(from, to) of runs of lines between a surge and a dive point of the window sums; windows look ahead, so a run begins at a heavy line and ends after one."""
     before = [0, *itertools.accumulate(weights)]
     sums = [before[min(k + LINES, len(weights))] - before[k] for k in range(len(weights))]
     out, start = [], None
-    for k, s in enumerate(sums):
+    for k, s in enumerate([*sums, 0]):
         if start is None and s > 0 and weights[k] > 0:
             start = k
         elif start is not None and s == 0:
             out.append((start, k))
             start = None
-    if start is not None:
-        out.append((start, len(weights)))
     return out
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by a line break; empty if there are none."""
     lines = lines_of(page or "")
-    articles = any(x.article and x.weight for x in lines)
-    # an article element settles what is outside of it; without one, lines of links weigh nothing
-    weights = [0 if articles and not x.article or not articles and x.linked else x.weight for x in lines]
-    runs = stretches(weights)
-    if not runs:
-        return ""
-    heavy = [sum(weights[a:b]) for a, b in runs]
-    best = max(range(len(runs)), key=lambda k: heavy[k])
-    home = lines[runs[best][0]].article
-    kept = [run for k, run in enumerate(runs) if lines[run[0]].article == home and (home or heavy[k] >= STRETCH_SHARE * heavy[best])]
-    own = [k for k, x in enumerate(lines) if not x.dropped and (x.article == home if home else any(a <= k < b for a, b in kept) and not x.linked)]
-    return "\n".join(lines[k].text for k in own)
+    articles = any(x.article and x.plain and not x.dropped for x in lines)
+    out = [x.dropped or articles and not x.article for x in lines]
+    weights = [0 if o else x.plain or (len(x.text) if x.article and not x.listed else 0) for x, o in zip(lines, out, strict=True)]
+    return "\n".join(lines[k].text for a, b in stretches(weights) for k in range(a, b) if not out[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:
