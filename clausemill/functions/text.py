@@ -106,7 +106,7 @@ def unverified_numbers(answer: Column, source: Column, tolerance: float = 1e-9)
 
 
 def _escaped(literal: Column) -> Column:
-    return F.regexp_replace(literal, r"([.\-])", r"\\$1")
+    return F.regexp_replace(literal, r"([\\^$.|?*+()\[\]{}\-])", r"\\$1")
 
 
 def cites_clause(answer: Column, clause_no: Column, strict: bool = False) -> Column:

@@ -40,21 +40,21 @@ def query(f: Query) -> Query:
 @query
 def dense_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    asked = e.filter("vec_id = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
-    return R.dense_top_k(asked, vectors_of(e), 5).select("clause_id", "score")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    return R.dense_top_k(asked, vectors_of(e), 5).select("question_id", "clause_id", "score", "rank")
 
 
 @query
 def dense_filtered_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    asked = e.filter("vec_id = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
-    return R.dense_top_k(asked, vectors_of(e), 5, where=F.col("label") % 2 == 0).select("clause_id", "score")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    return R.dense_top_k(asked, vectors_of(e), 5, where=F.col("label") % 2 == 0).select("question_id", "clause_id", "score", "rank")
 
 
 @query
 def dense_batch_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    asked = e.filter("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
     return R.dense_top_k(asked, vectors_of(e), 5).select("question_id", "clause_id", "score", "rank")
 
 
@@ -101,7 +101,7 @@ def rerank(spark, sf):
 
 @query
 def exact_lookup(spark, sf):
-    asked = table(spark, sf, "events").filter("event_id < 300").select(F.col("event_id").alias("question_id"), F.concat(F.lit("GB "), 50000 + F.col("event_id") * 7 % 2000, F.lit("-2010")).alias("standard_no"), F.lit("1.1.1").alias("clause_no"))
+    asked = table(spark, sf, "events").filter("event_id % 20 = 0").select(F.col("event_id").alias("question_id"), F.concat(F.lit("GB "), 50000 + F.col("event_id") * 7 % 2000, F.lit("-2010")).alias("standard_no"), F.lit("1.1.1").alias("clause_no"))
     return R.exact_lookup(asked, order_standards(spark, sf), line_clauses(spark, sf)).select("question_id", "clause_id", "standard_id")
 
 
@@ -196,7 +196,7 @@ def table_owner(spark, sf):
 
 @query
 def parser_route(spark, sf):
-    p = table(spark, sf, "pages").withColumn("host", F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).withColumn("text", F.when(F.col("page_id") % 2 == 0, F.substring("html", 1, 60)).otherwise(F.col("html")))
+    p = table(spark, sf, "pages").withColumn("host", F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).withColumn("text", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.col("html")))
     return S.parser_route(p.withColumn("parity", F.col("page_id") % 4), ["host", "parity"], F.col("parity") < 3)
 
 
@@ -222,7 +222,7 @@ def prompts(spark, sf):
     q = questions_with_vectors(spark, sf)
     found = R.dense_top_k(q, vectors, 5).filter("question_id > 0")
     rows = C.fragments(found, clauses.filter("clause_id not like '%3' and clause_id <> 'D1'"), standards)
-    asked = C.prompts(q, found, C.context_json(rows.filter("question_id <> 2")))
+    asked = C.prompts(q, found, C.context_json(rows.filter("question_id % 60 <> 40")))
     return asked.select("question_id", F.col("user_prompt").isNotNull().alias("asks"), F.coalesce("refusal", F.lit("")).alias("refusal"))
 
 
@@ -238,30 +238,30 @@ def small_to_big(spark, sf):
 def numeric_verify(spark, sf):
     a = answers(spark, sf)
     bad = T.unverified_numbers(F.col("answer"), F.col("source"))
-    return a.select("conv_id", F.size(T.numbers(F.col("answer"))).cast("long").alias("n_numbers"), F.array_join(F.transform(bad, lambda x: x["raw"]), ";").alias("unverified"))
+    return a.select("conv_id", "turn", F.size(T.numbers(F.col("answer"))).cast("long").alias("n_numbers"), F.array_join(F.transform(bad, lambda x: x["raw"]), ";").alias("unverified"))
 
 
 @query
 def numeric_intercept(spark, sf):
     a = answers(spark, sf)
-    rows = a.select(F.col("conv_id").alias("question_id"), F.lit(1).alias("ord"), F.col("source").alias("text"), F.lit("4.2.1").alias("clause_no"), F.lit("JTG D60-2015").alias("standard_no"))
-    out = C.intercept_numbers(a.select(F.col("conv_id").alias("question_id"), "answer"), rows)
+    rows = a.select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.lit(1).alias("ord"), F.col("source").alias("text"), F.lit("4.2.1").alias("clause_no"), F.lit("JTG D60-2015").alias("standard_no"))
+    out = C.intercept_numbers(a.select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), "answer"), rows)
     return out.select("question_id", "all_verified", F.md5("final").alias("final_md5"))
 
 
 @query
 def citation_refusal(spark, sf):
     a = answers(spark, sf)
-    return a.select("conv_id", T.cites_clause(F.col("answer"), F.col("gold")).alias("cited"), T.cites_clause(F.col("answer"), F.col("gold"), strict=True).alias("cited_strict"), T.is_refusal(F.col("answer")).alias("refused"), T.refusal_correct(F.col("should_answer"), T.is_refusal(F.col("answer"))).alias("refusal_ok"))
+    return a.select("conv_id", "turn", T.cites_clause(F.col("answer"), F.col("gold")).alias("cited"), T.cites_clause(F.col("answer"), F.col("gold"), strict=True).alias("cited_strict"), T.is_refusal(F.col("answer")).alias("refused"), T.refusal_correct(F.col("should_answer"), T.is_refusal(F.col("answer"))).alias("refusal_ok"))
 
 
 def _cases(spark, sf):
     e = table(spark, sf, "embeddings")
     vectors = vectors_of(e)
-    asked = e.filter("vec_id < 40").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
     ranked = E.ranked_lists(R.dense_top_k(asked, vectors, 10))
     gold = e.groupBy("label").agg(F.concat(F.lit("D"), F.min("vec_id")).alias("gold"))
-    return e.filter("vec_id < 40").select(F.col("vec_id").alias("question_id"), "label").join(gold, "label").join(ranked, "question_id")
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "label").join(gold, "label").join(ranked, "question_id")
 
 
 @query
@@ -271,13 +271,13 @@ def retrieval_metrics(spark, sf):
 
 @query
 def eval_summary(spark, sf):
-    cases = E.retrieval_metrics(_cases(spark, sf)).withColumn("gold", F.when(F.col("question_id") % 5 != 0, F.col("gold"))).withColumn("should_answer", F.col("question_id") % 4 != 0).withColumn("must_cite", F.col("question_id") % 2 == 0).withColumn("cited", F.col("question_id") % 3 == 0).withColumn("refusal_ok", F.col("question_id") % 7 != 0)
+    cases = E.retrieval_metrics(_cases(spark, sf)).withColumn("gold", F.when(F.expr("question_id div 20") % 5 != 0, F.col("gold"))).withColumn("should_answer", F.expr("question_id div 20") % 4 != 0).withColumn("must_cite", F.expr("question_id div 20") % 2 == 0).withColumn("cited", F.expr("question_id div 20") % 3 == 0).withColumn("refusal_ok", F.expr("question_id div 20") % 7 != 0)
     return E.summary(cases)
 
 
 @query
 def ab_compare(spark, sf):
-    m = E.retrieval_metrics(_cases(spark, sf)).withColumn("variant", F.when(F.col("question_id") % 2 == 0, "a").otherwise("b"))
+    m = E.retrieval_metrics(_cases(spark, sf)).withColumn("variant", F.when(F.expr("question_id div 20") % 2 == 0, "a").otherwise("b"))
     return E.compare(m, ["recall_3", "rr"], "a", "b")
 
 
@@ -297,7 +297,7 @@ def access_guard(spark, sf):
 @query
 def reference_expand(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("clause_id"), "o_orderstatus")
-    hits = o.filter("clause_id % 17 = 0").select((F.col("clause_id") % 5).alias("question_id"), "clause_id")
+    hits = o.select((F.col("clause_id") % 5).alias("question_id"), "clause_id")
     refs = o.select("clause_id", F.explode(F.array(F.col("clause_id") - 1, F.col("clause_id"), F.col("clause_id") + 1)).alias("target_id"))
     admitted = o.select("clause_id", F.when(F.col("o_orderstatus") == "F", T.RETIRED).otherwise(T.CURRENT).alias("status"))
     aux, warnings = V.expand_references(hits, refs, admitted)
@@ -350,7 +350,7 @@ def metadata_enrich(spark, sf):
 @query
 def visual_page_recall(spark, sf):
     e = table(spark, sf, "embeddings")
-    asked = e.filter("vec_id < 5").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
     pages = e.select(F.concat(F.lit("P"), "vec_id").alias("page_id"), F.col("embedding").alias("dense"))
     mapped = e.select(F.concat(F.lit("P"), "vec_id").alias("page_id"), F.concat(F.lit("C"), F.col("vec_id") % 60).alias("clause_id"))
     return R.visual_recall(asked, pages, mapped, 30, 5).select("question_id", "clause_id", "score", "pages", "rank")
@@ -375,7 +375,7 @@ def mode_router(spark, sf):
 @query
 def cross_modal_fuse(spark, sf):
     e = table(spark, sf, "embeddings")
-    asked = e.filter("vec_id < 5").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
     text = R.dense_top_k(asked, vectors_of(e).filter("label < 6"), 10)
     visual = R.dense_top_k(asked, vectors_of(e).filter("label > 3"), 10)
     return R.cross_modal_fuse(text, visual, 5).select("question_id", "clause_id", "score", "sources", "rank")

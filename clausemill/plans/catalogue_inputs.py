@@ -22,11 +22,11 @@ def corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def document_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").filter("item_id < 8").select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("GB "), 50000 + F.col("item_id") + 1, F.lit("-2015 2.1.1 "), "text")).when(F.col("item_id") % 4 == 1, F.concat(F.lit("GB 59999-2015 "), "text")).otherwise(F.col("text")).alias("question"))
+    return table(spark, sf, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("GB "), 50000 + F.col("item_id") + 1, F.lit("-2015 2.1.1 "), "text")).when(F.col("item_id") % 4 == 1, F.concat(F.lit("GB 59999-2015 "), "text")).otherwise(F.col("text")).alias("question"))
 
 
 def questions_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").filter("vec_id < 8").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    e = table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
     return document_questions(spark, sf).join(e, "question_id")
 
 
@@ -64,8 +64,8 @@ def cells_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """(conv_id, answer, source, gold, should_answer) with derived numbers, citations and refusals."""
+    """(conv_id, turn, answer, source, gold, should_answer) of every turn with derived numbers, citations and refusals."""
     n = F.col("conv_id")
     answer = F.when(n % 11 == 0, F.lit("未检索到相关依据")).otherwise(F.concat(F.lit("依据第 "), F.when(n % 3 == 0, "4.2.1").when(n % 3 == 1, "14.2.1").otherwise("4.2.10"), F.lit(" 条，压实度 "), 90 + n % 10, F.when(n % 2 == 0, "%").otherwise(" mm"), F.lit("，厚 "), n % 7, F.lit(".5")))
     source = F.concat(F.lit("4.2.1 14.2.1 压实度不应小于 "), 90 + n % 8, F.when(n % 4 < 3, "%").otherwise(""), F.lit(" 厚 "), n % 5, F.lit(".50 m，"), F.col("text"))
-    return table(spark, sf, "conversations").filter("turn = 0").select("conv_id", answer.alias("answer"), source.alias("source"), F.lit("4.2.1").alias("gold"), (n % 5 != 0).alias("should_answer"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", answer.alias("answer"), source.alias("source"), F.lit("4.2.1").alias("gold"), (n % 5 != 0).alias("should_answer"))

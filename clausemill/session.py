@@ -22,3 +22,11 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows`, dealt out over the cores if they are few and stand in fewer files than there are cores, whose row groups can't be split."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = size <= cores << 24 and 0 < len(rows.inputFiles()) < cores
+    return rows.repartition(2 * cores) if few else rows
