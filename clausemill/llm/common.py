@@ -12,6 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread  # noqa: F401  used by the operators
+
 #: Words of the contracts: maximal runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -101,14 +103,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold_of(doc_id) == 0, F.lit(False))
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """`docs`, dealt out over the cores if it is small and stands in fewer files than there are cores, whose row groups can't be split."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    few = size <= cores << 24 and 0 < len(docs.inputFiles()) < cores
-    return docs.repartition(2 * cores) if few else docs
-
-
 def wrapped(docs: DataFrame) -> DataFrame:
     """All columns of `docs` as one struct `row`, so that no name clashes with an operator's own columns."""
     return docs.select(F.struct("*").alias("row"))

@@ -11,12 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, released, wrapped
+from .kneser_ney import raw
+
 WINDOW, BLOCK = 10, 2
-#: Benchmark text that one pass broadcasts, in characters; a larger benchmark is searched for in several passes over the documents.
-PASS_CHARS = 32_000_000
+#: Words of benchmark text whose tables a worker holds at a time, at some 600 bytes each (hashed parts hold half of that on the average); a larger benchmark
+#: takes several passes over the documents, one after the other. A longer item is cut into pieces of PIECE windows.
+PASS_WORDS, PIECE = 200_000, 4096
+#: Words, as words_of() takes them.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: A-Z to a-z, other ASCII but digits and a-z to space; bytes from 0x80 on belong to words.
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -41,7 +47,7 @@ class WuManber:
             if m - end < self.shift.get(key, m):
                 self.shift[key] = m - end
         items = self.buckets.setdefault(pattern[m - b :], {}).setdefault(pattern, [])
-        if item not in items:
+        if not items or items[-1] != item:
             items.append(item)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
@@ -96,77 +102,92 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The items, dealt so that a pass holds PASS_CHARS at most (or one longer item)."""
-    usable = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = -(-2 * total // PASS_CHARS) if total > PASS_CHARS else 1
-    out = []
-    for k in range(parts):
-        part = usable if parts == 1 else usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        out.append([(r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in part.collect()])
-    return out
+def pieces(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words, n): the words of each item, with a space between, in pieces that share WINDOW - 1 words, so that each window stands in one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, sizes = [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(raw(text))
+                for k in range(0, max(1, len(words) - WINDOW + 1) if words else 0, PIECE):
+                    own = words[k : k + PIECE + WINDOW - 1]
+                    ids.append(item)
+                    texts.append(b" ".join(own))
+                    sizes.append(len(own))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], ["item_id", "words", "n"])
 
-#: Columns that `search` adds.
-FOUND = "cm_n_words long, cm_spans array<struct<start:int,end:int>>, cm_items array<long>"
+    usable = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return usable.mapInArrow(run, "item_id long, words binary, n long").distinct()
 
 
-def _search_once(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
-    """docs with FOUND."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    text_at = docs.columns.index("text")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+#: What search() finds.
+FOUND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<bigint>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_KIND = pa.struct([("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def finder(scratch: Scratch, items: list[tuple[int, bytes]]):
+    """A column function of text: FOUND."""
+    shared = scratch.share(items)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = searchers(shared.value)
-        for batch in batches:
+        for texts in batches:
             n_words, spans, found = [], [], []
-            for text in batch.column(text_at).cast(pa.binary()).to_pylist():
-                n, s, i = found_in(text, tables)
+            for text in texts:
+                n, s, i = found_in(raw(text), tables)
                 n_words.append(n)
                 spans.append([{"start": a, "end": b} for a, b in s])
                 found.append(i)
-            columns = [*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, [*batch.schema.names, "cm_n_words", "cm_spans", "cm_items"])
+            yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.int64()))], fields=list(_KIND))
+        released()
 
-    return docs.mapInArrow(run, f"{fields}, {FOUND}")
+    return F.arrow_udf(run, FOUND, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()  # lest a filter evaluates it again
 
 
-def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` (with a string column text) and cm_n_words, cm_spans (word ranges inside occurrences, merged), cm_items.
+def search(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(row, found): each row of `docs` (with text) as a struct; its number of words, spans (word ranges inside occurrences) and items.
 
     Words are runs of ASCII letters and digits and all characters beyond ASCII, A-Z lower-cased. Null or empty text: no words, no
     hits. Items without an id or words have no windows; equal items each count. No benchmark rows: no hits. Repeated and
-    extra rows and columns of `docs` pass through as they are.
+    extra rows and columns of `docs` pass through as they are. A benchmark of one pass, as most, is searched for as the result is read;
+    otherwise each pass is written, and the driver and the workers hold one part of the benchmark at a time.
     """
-    out = None
-    for items in _passes(benchmark):
-        if out is None:
-            out = _search_once(docs, items)
+    scratch = scratch or Scratch(docs.sparkSession, "leaks")
+    parts = pieces(benchmark)
+    total = benchmark.filter("item_id is not null").agg(F.coalesce(F.sum(F.regexp_count(F.col("text"), F.lit(WORDS))), F.lit(0)).alias("n")).first()["n"]
+    passes = -(-2 * total // PASS_WORDS) if total > PASS_WORDS else 1
+    rows = wrapped(docs)
+    for k in range(passes):
+        part = parts if passes == 1 else parts.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k)
+        own = finder(scratch, sorted((r["item_id"], bytes(r["words"])) for r in part.collect()))(F.col("row.text").cast("string"))
+        if not k:
+            rows = rows.withColumn("found", own)
         else:
-            before = out.withColumnsRenamed({"cm_spans": "cm_spans_0", "cm_items": "cm_items_0"}).drop("cm_n_words")
-            more = _search_once(before, items)
-            out = more.withColumn("cm_spans", F.concat("cm_spans_0", "cm_spans")).withColumn("cm_items", F.array_sort(F.array_union("cm_items_0", "cm_items"))).drop("cm_spans_0", "cm_items_0")
-    return out
+            both = F.struct(F.col("found.n_words"), F.concat("found.spans", "more.spans").alias("spans"), F.array_sort(F.array_union("found.items", "more.items")).alias("items"))
+            rows = rows.withColumn("more", own).withColumn("found", both).drop("more")
+        if passes > 1:
+            rows = scratch.put(rows, f"pass-{k}")
+            scratch.unshare()
+            scratch.drop_all_but(f"pass-{k}")
+    return rows
 
 
-def covered(spans: str = "cm_spans"):
+def covered(spans: Column) -> Column:
     """Number of words in the union of the spans."""
     state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
-    ordered = F.array_sort(F.col(spans))
-    return F.aggregate(ordered, state, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["to"]))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")), lambda s: s["n"])
+    return F.aggregate(F.array_sort(spans), state, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["to"]))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")), lambda s: s["n"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row; odd rows as in search()."""
     found = search(docs.select("doc_id", "text"), benchmark)
-    names = F.array_join(F.array_sort(F.transform("cm_items", lambda i: i.cast("string"))), ",")
-    hit = covered()
-    return found.select("doc_id", F.col("cm_n_words").alias("n_words"), hit.alias("n_hit"), F.size("cm_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("cm_items") > 0).alias("contaminated"))
+    names = F.array_join(F.array_sort(F.transform("found.items", lambda i: i.cast("string"))), ",")
+    n = F.size("found.items")
+    return found.select("row.doc_id", "found.n_words", covered(F.col("found.spans")).alias("n_hit"), n.cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` without a hit word."""
-    return search(docs, benchmark).filter(F.size("cm_items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of `docs` without a hit word, with all their columns, whatever their names; odd rows as in search()."""
+    return search(docs, benchmark, scratch).filter(F.size("found.items") == 0).select("row.*")

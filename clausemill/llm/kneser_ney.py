@@ -29,7 +29,7 @@ CODE_POINTS = 0x110000
 #: Orders up to this are estimated in one job.
 TOGETHER = 3
 #: N-grams that a counting task holds before it sends them on.
-COUNTED = 1 << 20
+COUNTED = 1 << 19
 #: Bytes of scores that a scoring task keeps by hash.
 KEPT_BYTES = 1 << 25
 
@@ -195,6 +195,8 @@ class Model:
             at = np.argsort(keys)
             distinct, first = np.unique(contexts, return_index=True)
             levels.append((keys[at], logp[own][at], distinct, logw[own][first]))
+        del table, grams, points, keys, contexts, owner, logp, logw
+        released()
         return (k, self.shards, len(self.groups), float(-np.log(CODE_POINTS)), levels)
 
 

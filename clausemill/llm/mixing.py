@@ -50,7 +50,7 @@ def source_targets(totals: DataFrame, weights: Sequence[int], most: int) -> Data
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix-1") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix-1", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, weight, taken, epochs for each row of `docs` (doc_id, text, source).
 
     `epochs` counts whole passes over the source; `taken` adds the words taken in the last, cut pass.
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
     """
     spark = docs.sparkSession
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
-    sized = Scratch(spark, "mix").put(narrow, "sized").withColumn("range", F.shiftright("key", 4 * (KEY_HEX - RANGE_HEX)))
+    sized = (scratch or Scratch(spark, "mix")).put(narrow, "sized").withColumn("range", F.shiftright("key", 4 * (KEY_HEX - RANGE_HEX)))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     in_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(in_source), F.lit(0)))

@@ -10,9 +10,12 @@
 4. In each list, members are held against a hub instead of each other: the most central one, then one by chance. Links are
    contracted to components, and lists whose members are all connected are done. So a large group of copies costs rows in proportion
    to its size.
-5. Members of the lists that are left meet in a second prefix merging, over their full sets with places counted, which
-   leaves out what is connected or can't reach the threshold; longer sketches of minima thin it out.
+5. Members of the lists that are left are many and mostly unlike, as those that share a passage. They are thinned out by a second prefix
+   merging, over their full sets with places counted, which leaves out what is connected or can't reach the threshold, and by longer
+   sketches of minima; of what meets there, collisions are counted as before.
 6. Pairs are confirmed on their full sets.
+
+A token that holds more than one in HOT of all postings (there are fewer than HOT such) is spread over SALTS parts in every join by token.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, released, spread, wrapped
 
 COORDINATES, MATCHES = 24, 10
 #: At similarity 0.8 a pair has fewer than 10 of 24 collisions in 6 cases of a million.
@@ -37,6 +40,8 @@ SKETCH = 1 << 20
 #: Word hashes kept by a task; they are dropped together when there are more.
 KNOWN_WORDS = 1 << 18
 SALTS = 64
+#: Tokens with more than one in so many of all postings are hot; their number has this bound, and so they are broadcast.
+HOT = 10_000
 #: Bits of the sketch that members of the second merging carry (one of each of so many minima), 64 in a word, and how many
 #: standard deviations more bits than expected at the threshold may differ: one pair in a million at the threshold has more.
 SKETCH_BITS, SLACK = 512, 4.75
@@ -110,17 +115,31 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 nodes.append(node_of(found) if len(found) else None)
                 tokens.append(signature(found, seeds).view(np.int64) if len(found) else None)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "tokens"])
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, tokens array<long>")
 
 
-def prefix_lists(reps: DataFrame) -> DataFrame:
-    """(token, id, central): each representative under its first tokens, in order of frequency. central: the frequencies of its tokens, summed."""
+def salted(postings: DataFrame, hot: DataFrame) -> DataFrame:
+    """Postings (token, id, ...) with parts (SALTS for a hot token, else 1) and salt, one of these."""
+    met = postings.join(F.broadcast(hot.select("token", F.lit(SALTS).alias("parts"))), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return met.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+
+def in_parts(tokens: DataFrame) -> DataFrame:
+    """One row of (token, parts, ...) for each of its salts."""
+    return tokens.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).drop("parts")
+
+
+def prefix_lists(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, id, central, parts, salt): each representative under its first tokens, in order of frequency. central: the frequencies of its tokens, summed."""
     posted = reps.select("id", F.explode("tokens").alias("token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = posted.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"), F.sum("df").alias("central"))
+    shared = scratch.put(posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
+    hot = shared.filter(F.col("df") * HOT > reps.count() * COORDINATES)
+    spread = in_parts(shared.join(F.broadcast(hot.select("token", F.lit(SALTS).alias("parts"))), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    ranked = salted(posted, hot).join(spread, ["token", "salt"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token", "parts", "salt"))).alias("shared"), F.sum("df").alias("central"))
     kept = ranked.filter(F.size("shared") >= MATCHES).select("id", "central", F.expr(f"slice(shared, 1, size(shared) - {MATCHES - 1})").alias("first"))
-    return kept.select(F.explode("first.token").alias("token"), "id", "central")
+    return kept.select("id", "central", F.explode("first").alias("f")).select("f.token", "id", "central", "f.parts", "f.salt")
 
 
 def with_component(rows: DataFrame, parents: DataFrame | None) -> DataFrame:
@@ -132,15 +151,15 @@ def with_component(rows: DataFrame, parents: DataFrame | None) -> DataFrame:
 
 def unmerged(lists: DataFrame) -> DataFrame:
     """The lists whose members stand in several components."""
-    several = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-    return lists.join(several, "token", "left_semi")
+    several = lists.groupBy("token", "parts").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token", "parts")
+    return lists.join(in_parts(several), ["token", "salt"], "left_semi")
 
 
 def hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """(a, b): every member of a list against one hub: first the most central, then one by chance; connected pairs are left out."""
     order = -F.col("central") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-    hubs = lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("token", "h.hub", "h.hub_comp")
-    met = lists.join(hubs, "token").filter("comp != hub_comp")
+    hubs = lists.groupBy("token", "parts").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("token", "parts", "h.hub", "h.hub_comp")
+    met = lists.join(in_parts(hubs), ["token", "salt"]).filter("comp != hub_comp")
     return met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
@@ -201,6 +220,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     a.append(hub)
                     b.append(i)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        released()
 
     return placed.mapInArrow(compare, "a long, b long")
 
@@ -231,7 +251,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def set_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def set_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of (id, comp) members in different components whose full sets may reach the threshold.
 
     Prefix merging on the sets themselves: with all shingles in one order, rare ones first, a pair at the threshold has a first common
@@ -239,7 +259,7 @@ def set_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bounded by the overlap of sets of its own size, in the larger by that of the smallest admitted.
     """
     own = members.hint("merge").join(sets, "id")
-    shared = members.sparkSession.sparkContext.broadcast(frequencies(own))
+    shared = scratch.share(frequencies(own))
     words = SKETCH_BITS // 64
     names = [f"b{k}" for k in range(words)]
     apart = (1 - percent / 100) / 2
@@ -264,6 +284,7 @@ def set_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 sketches.append(np.tile(sketch(x), (first, 1)))
             marks = np.concatenate(sketches)
             yield pa.record_batch([*[pa.array(c, pa.int64()) for c in out], *[pa.array(marks[:, k]) for k in range(words)]], ["token", "id", "comp", "n", "at", *names])
+        released()
 
     listed = own.select("id", "comp", "shingles").mapInArrow(run, "token long, id long, comp long, n long, at long, " + ", ".join(f"{w} long" for w in names))
     x, y = listed.alias("x"), listed.alias("y")
@@ -305,22 +326,22 @@ def connected(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
             return parents
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text).
 
     A document's words are lower-cased (A-Z) runs of anything but space and U+0009 to U+000D; fewer words than `width` are one
     shingle, none an empty set, which is linked with nothing. component_id is the smallest doc_id that can be
     reached over links, itself included, and kept says whether it is the own one.
     Null text: an empty set. Null doc_id: linked with nothing, component_id null, kept. Rows that repeat an id are
-    one document; where their texts differ, the id links their sets. No rows: no rows.
+    one document; where their texts differ, the id links their sets. Other columns are ignored. No rows: no rows.
+    What is returned reads two tables of `scratch`.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    signed = scratch.put(signatures(docs, width), "signed")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    signed = scratch.put(signatures(spread(docs.select("doc_id", "text")), width), "signed")
     full = signed.filter("node is not null and doc_id is not null")
     reps = full.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
     reps = scratch.put(reps, "reps")
-    lists = scratch.put(unmerged(with_component(prefix_lists(reps), None)), "lists").drop("comp")
+    lists = scratch.put(unmerged(with_component(prefix_lists(reps, scratch), None)), "lists").drop("comp")
     sets = scratch.put(sets_of(lists.select("id").distinct(), reps, docs, width), "sets")
     # an id that stands on rows with different sets links them
     several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z")
@@ -330,8 +351,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         lists = scratch.put(unmerged(with_component(lists, parents)), f"lists-{turn}")
         if lists.isEmpty():
             break
-        pairs = colliding(hub_pairs(lists, turn), reps, percent) if turn < HUB_TURNS else set_pairs(lists.select("id", "comp").distinct(), sets, percent)
-        found = scratch.put(confirmed(scratch.put(pairs, f"pairs-{turn}"), sets, percent), f"links-{turn}")
+        met = hub_pairs(lists, turn) if turn < HUB_TURNS else scratch.put(set_pairs(lists.select("id", "comp").distinct(), sets, percent, scratch), "met")
+        found = scratch.put(confirmed(scratch.put(colliding(met, reps, percent), f"pairs-{turn}"), sets, percent), f"links-{turn}")
+        scratch.unshare()
         lists = lists.drop("comp")
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -348,14 +370,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without those of documents that aren't kept, and one row of an id that stands on several.
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of `docs` without those of documents that near_duplicates() doesn't keep, with all their columns, whatever their names.
 
-    Rows without an id stay.
+    Of rows with equal id and text one stays, the first by its JSON; rows of a kept id with other texts stay, so no text is lost.
+    Rows without an id stay, those without text too. No rows: no rows.
     """
-    judged = Scratch(docs.sparkSession, "near").put(near_duplicates(docs, width, percent), "judged")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    judged = scratch.put(near_duplicates(docs, width, percent, scratch), "judged")
+    scratch.drop("signed", "named")
     gone = judged.filter("not kept").select("doc_id").distinct()
-    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("cm_rows")).filter("cm_rows > 1").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti")
-    single = rest.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    rows = wrapped(docs)
+    key = F.col("row.doc_id").cast("long") == F.col("doc_id")
+    rest = rows.join(gone, key, "left_anti")
+    single = rest.join(repeated, key, "left_anti")
+    twice = rest.join(repeated, key, "left_semi").groupBy("row.doc_id", F.md5(F.col("row.text").cast("binary")).alias("text")).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(twice).select("row.*")

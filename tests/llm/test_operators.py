@@ -348,7 +348,7 @@ def test_second_prefix_merging_finds_all_links(spark, copies):
     shingle = near_dups.Shingler(4)
     sets = {k: shingle(t.encode()) for k, t in texts}
     s = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "id long, shingles binary")
-    found = {(r.a, r.b) for r in near_dups.confirmed(near_dups.set_pairs(spark.createDataFrame([(k, k) for k in sets], "id long, comp long"), s, 80), s, 80).collect()}
+    found = {(r.a, r.b) for r in near_dups.confirmed(near_dups.set_pairs(spark.createDataFrame([(k, k) for k in sets], "id long, comp long"), s, 80, Scratch(spark, "test")), s, 80).collect()}
     want = set()
     for a in sets:
         for b in sets:
@@ -366,6 +366,9 @@ def test_near_duplicates_odd(spark, odd, none):
     assert near_dups.near_duplicates(none, 4, 80).count() == 0
     left = [r.doc_id for r in near_dups.survivors(odd, 4, 80).collect()]
     assert sorted(x for x in left if x) == [1, 2, 3, 4, 5, 7, 8, 9] and None in left
+    several = spark.createDataFrame([(1, "a b c d", 2), (1, "a b c d", 1), (1, "x y z w", 3), (2, "a b c d", 4)], "doc_id long, text string, n int")
+    for _ in range(2):
+        assert sorted(map(tuple, near_dups.survivors(several.repartition(3), 4, 80).collect())) == [(1, "a b c d", 1), (1, "x y z w", 3)]
     twice = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (2, "e f g h"), (3, "e f g h")], "doc_id long, text string")
     assert {r.component_id for r in near_dups.near_duplicates(twice, 4, 80).collect()} == {1}
 
@@ -447,8 +450,19 @@ def test_decontamination_by_brute_force(spark, documents):
 def test_decontamination_in_several_passes(spark, documents, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     once = sorted(map(tuple, decontaminate.report(documents, bench).collect()))
-    monkeypatch.setattr(decontaminate, "PASS_CHARS", 3000)
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 500)
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    held, live = [], []
+
+    class Watched(Scratch):
+        def share(self, value):
+            held.append(sum(len(words.split()) for _, words in value))
+            live.append(len(self.shared))
+            return super().share(value)
+
+    monkeypatch.setattr(decontaminate, "Scratch", Watched)
     assert sorted(map(tuple, decontaminate.report(documents, bench).collect())) == once
+    assert len(held) > 5 and max(held) < 1000 and max(live) == 0  # one part at a time
 
 
 def test_decontamination_odd(odd, none, spark):
@@ -503,6 +517,48 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def page(*blocks):
+    """A page without telling names: each block is text, or links if it begins with @."""
+    return "<body>" + "".join(f"<div>{''.join(f'<a href=x>{w}</a> ' for w in b[1:].split()) if b.startswith('@') else b}</div>" for b in blocks) + "</body>"
+
+
+def plain_main_text(blocks, size):
+    """Brute force over blocks: a block of links stays if text lies before and after it, with fewer than `size` such blocks between these."""
+    heavy = [k for k, b in enumerate(blocks) if not b.startswith("@")]
+    kept = set(heavy)
+    for a, b in zip(heavy, heavy[1:]):
+        if b - a - 1 < size:
+            kept.update(range(a, b))
+    return "\n".join(blocks[k].lstrip("@") for k in sorted(kept))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_surge_and_dive_points_by_brute_force(monkeypatch, size):
+    rng = random.Random(size)
+    monkeypatch.setattr(html_text, "LINES", size)
+    texts = set()
+    for _ in range(200):
+        blocks = [rng.choice(["@home about", "@next", "Some text here", "x", "A longer paragraph of text, with more words in it."]) for _ in range(rng.randint(0, 14))]
+        assert html_text.main_text(page(*blocks)) == plain_main_text(blocks, size)
+        texts.add(plain_main_text(blocks, size) == plain_main_text(blocks, 3))
+    assert texts == ({True} if size == 3 else {True, False})
+
+
+def test_html_keeps_short_sections_siblings_and_linked_paragraphs():
+    assert html_text.main_text("<article><p>one</p></article><div>between</div><article><p>two</p><div class=ad>a</div><div class=ad>b</div><div class=ad>c</div><p>z</p></article>") == "one\ntwo\nz"
+    long = "many words of a long paragraph " * 20
+    assert html_text.main_text(page(long, "@a", "@b", "@c", "@d", "End.")) == f"{long.strip()}\nEnd."
+    assert html_text.main_text("<article><p>See <a href=x>a very long title of another page</a></p><p><a href=y>Source</a></p><ul><li><a href=1>m</a><li><a href=2>n</a><li><a href=3>o</a></ul></article>") == "See a very long title of another page\nSource"
+    assert html_text.main_text("<article><h1>T</h1><p>text</p></article><section class=comments><p>" + long + "</p></section>") == "T\ntext"
+
+
+def test_html_of_odd_shapes():
+    assert html_text.main_text("<div>" * 20_000 + "deep <b>text</b>" + "</b></div>" * 20_000) == "deep text"
+    many = "".join(f"<p>paragraph {k}</p>" for k in range(50_000))
+    assert html_text.main_text(f"<article>{many}</article>").count("\n") == 49_999
+    assert html_text.main_text("<p>a < b & c &unknown; &#x41;&#66;") == "a < b & c &unknown; AB"
+
+
 def test_html_rows(spark):
     rows = html_text.extract(spark.createDataFrame([(1, "u", "<p>é</p>", 1), (None, None, None, 1), (1, "u", "<p>é</p>", 1)], "page_id long, url string, html string, text int")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in rows) == [(0, "", 0), (1, "é", 1), (1, "é", 1)]
