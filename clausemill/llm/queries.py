@@ -17,8 +17,8 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations")
-    return chat.format_chats(turns, chat.learn(turns))
+    turns = chat.transcripts(read(spark, sf_dir, "conversations"))
+    return chat.format_chats(turns, chat.learn(turns), rows_are_turns=False)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -92,11 +93,35 @@ def test_chat_roles(spark):
     model = chat.learn(turns)
     rows = chat.format_chats(turns, model).collect()
     assert sum(r.n_turns for r in rows) == turns.count() and sum(r.n_agree for r in rows) > 0.95 * turns.count()
-    parts = chat.split_transcript("System: be kind\nUser: hi\nhow are you?\n### Assistant\nfine\n\nHuman: ok")
-    assert model.decode(parts) == ["system", "user", "assistant", "user"]
     assert chat.rendered(["user"], ["User: hi\nthere"]) == "<|user|>\nhi\nthere\n<|end|>"
-    best = max(((a, b) for a in chat.ROLES for b in chat.ROLES), key=lambda ab: sum(model.line(r, True, chat.observations(t, True, k == 0, len(t))) for k, (r, t) in enumerate(zip(ab, ["hello?", "Yes."], strict=True))) + model.start.get(ab[0], -9.0) + model.move.get(ab, -9.0))
-    assert tuple(model.decode(["hello?", "Yes."])) == best
+
+
+def test_chat_transcripts(spark):
+    """Turns and roles recovered from marked lines, where every fifth turn has no marker."""
+    turns = chat.transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
+    model = chat.learn(turns)
+    assert model.emit["user", True, "marker=user"] > model.emit["user", False, "marker=user"] + 3 and model.emit["user", True, "marker=assistant"] < -4
+    parts = chat.split_transcript("System: be kind\nUser: hi\nhow are you?\n### Assistant\nfine\nmore\nHuman: ok", model)
+    assert parts == [("system", "System: be kind"), ("user", "User: hi\nhow are you?"), ("assistant", "### Assistant\nfine\nmore"), ("user", "Human: ok")]
+    rows, n = chat.format_chats(turns, model, rows_are_turns=False).collect(), turns.count()
+    assert sum(r.n_agree for r in rows) > 0.9 * n and abs(sum(r.n_turns for r in rows) - n) < 0.1 * n
+    assert not any("### " in r.chat or "[bot]" in r.chat for r in rows if "\n\n" not in r.chat)
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_viterbi_by_brute_force(spark, known):
+    turns = chat.transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
+    model, rng = chat.learn(turns), random.Random(2)
+    ways, n = model.ways(), range(len(chat.STATES))
+    for _ in range(10):
+        rows = [rng.choice(["User: a", "why?", "Bot: yes.\nNo", "- x\n- y", ""]) for _ in range(3)]
+        own = list(model.scores(rows, known))
+
+        def score(path):
+            return model.opening(path[0]) + own[0][path[0]] + sum(ways[a][b] + own[k + 1][b] for k, (a, b) in enumerate(zip(path, path[1:])))
+
+        best = max(itertools.product(n, repeat=len(own)), key=score)
+        assert score(model.decode(rows, known)) == pytest.approx(score(best))
 
 
 def test_chat_odd(spark):
@@ -113,11 +138,16 @@ def test_long_chats_are_decoded_whole(spark, monkeypatch):
     model = chat.learn(spark.read.parquet(f"{SF}/conversations.parquet"))
     rows = [(1, k, None, rng.choice(["ok", "Yes.", "why?", "it is so", "- a list"])) for k in range(3, 700)]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    want = model.decode([r[3] for r in rows])
-    for size in (256, 2):
-        monkeypatch.setattr(chat, "PIECE", size)
-        got = sorted(chat.format_chats(t, model).collect(), key=lambda r: r.piece)
-        assert len(got) > 2 and [x for r in got for x in r.roles.split(",")] == want
+    for known in (True, False):
+        states = model.decode([r[3] for r in rows], known)
+        want = [chat.STATES[s] for s in states]
+        for size in (256, 2):
+            monkeypatch.setattr(chat, "PIECE", size)
+            got = sorted(chat.format_chats(t, model, known).collect(), key=lambda r: r.piece)
+            assert len(got) > 2
+            if known:
+                assert [x for r in got for x in r.roles.split(",")] == [r for r, _ in want]
+            assert "".join(re.findall("[a-z]", "".join(re.sub(r"<\|\w+\|>", "", r.chat).lower() for r in got))) == "".join(re.findall("[a-z]", "".join(r[3].lower() for r in rows))) or known
 
 
 # 3 tokens
