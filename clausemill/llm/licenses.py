@@ -1,9 +1,9 @@
 """License scans: a paragraph classifier on sparse word n-grams, confirmed against templates.
 
-A multinomial logistic regression over word 1- to 3-grams is trained on the families' notices, with variations, and on sentences that
-only sound alike as the class unknown. A paragraph is a line with a word of the trained vocabulary that isn't a stop word, or a window of
+A multinomial logistic regression over word 1- to 3-grams is trained on the families' notices, with variants, and on sentences that
+only sound alike, also mixed with each other, as the class unknown. A paragraph is a line with a word of the trained vocabulary that isn't a stop word, or a window of
 words, within a line or across lines, that holds enough of a template's word pairs. The accepted probability is calibrated on
-the look-alikes, and a prediction stands if enough of a template's word pairs are in the paragraph. Of paragraphs that overlap in these
+variants and look-alikes that a first fit doesn't see, and a prediction stands if enough of a template's word pairs are in the paragraph. Of paragraphs that overlap in these
 pairs, the one that holds most of them counts.
 """
 
@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 UNKNOWN = "unknown"
-#: Least probability of a family, share of a template's word pairs that must occur, words of a window for each word pair of its template.
+#: Least probability of a family before calibration, share of a template's word pairs that must occur, words of a window for each word pair of its template.
 LEAST, CONFIRM, REACH = 0.5, 0.6, 2
 
 # Notices by family.
@@ -101,16 +103,14 @@ class LicenseModel:
         return UNKNOWN, float(p[-1])
 
 
-def train(notices: dict[str, list[str]] = NOTICES, look_alikes: list[str] = LOOK_ALIKES, turns: int = 400) -> LicenseModel:
-    """Fits the regression by full gradient steps; the training set is the given lists, so the model has a fixed size."""
-    families = [*sorted(notices), UNKNOWN]
-    texts: list[tuple[list[bytes], int]] = []
-    for k, family in enumerate(families[:-1]):
-        for notice in notices[family]:
-            words = words_of(notice.encode())
-            texts += [(words, k), ([b"copyright", b"2020", *words], k), (words[: max(4, len(words) * 3 // 4)], k), ([*words, b"see", b"the", b"file", b"for", b"details"], k)]
-    first = len(texts)
-    texts += [(words_of(x.encode()), len(families) - 1) for x in look_alikes] + [([], len(families) - 1)]
+def variants(words: list[bytes]) -> list[list[bytes]]:
+    """A notice as it stands, after a copyright line, cut short at either end, before other words, and with every seventh word missing."""
+    cut = max(4, len(words) * 3 // 4)
+    return [words, [b"copyright", b"2020", *words], words[:cut], [*words, b"see", b"the", b"file", b"for", b"details"], words[-cut:], [w for k, w in enumerate(words) if k % 7 != 5 or len(words) < 8]]
+
+
+def fit(texts: list[tuple[list[bytes], int]], families: list[str], turns: int) -> tuple[dict[tuple[bytes, ...], int], np.ndarray, np.ndarray]:
+    """(features, weights, bias) of a multinomial logistic regression on (words, class), by full gradient steps."""
     index: dict[tuple[bytes, ...], int] = {}
     for words, _ in texts:
         for g in sorted(grams(words)):
@@ -127,11 +127,39 @@ def train(notices: dict[str, list[str]] = NOTICES, look_alikes: list[str] = LOOK
         gap = e / e.sum(axis=1, keepdims=True) - y
         weights -= 8.0 * (x.T @ gap / len(texts) + 1e-5 * weights)
         bias -= 2.0 * gap.mean(axis=0)
+    return index, weights, bias
+
+
+def threshold_of(true: list[float], false: list[float]) -> float:
+    """The cut with the least sum of both error rates over rows of families and others; in the middle of the best cuts."""
+    cuts = sorted({0.0, 1.0, *true, *false})
+    middles = [(a + b) / 2 for a, b in zip(cuts, cuts[1:], strict=False)]
+    errors = [sum(t < c for t in true) / max(1, len(true)) + sum(f >= c for f in false) / max(1, len(false)) for c in middles]
+    best = [c for c, e in zip(middles, errors, strict=True) if e == min(errors)]
+    return (best[0] + best[-1]) / 2
+
+
+def train(notices: dict[str, list[str]] = NOTICES, look_alikes: list[str] = LOOK_ALIKES, turns: int = 400) -> LicenseModel:
+    """Fits the regression; the training set is the given lists, so the model has a fixed size.
+
+    A first fit leaves out every fourth variant and look-alike; on these, the least probability of a family is calibrated.
+    """
+    families = [*sorted(notices), UNKNOWN]
+    texts = [(v, k) for k, family in enumerate(families[:-1]) for notice in notices[family] for v in variants(words_of(notice.encode()))]
+    others = [words_of(x.encode()) for x in look_alikes]
+    others += [[*a[: len(a) // 2], *b[len(b) // 2 :]] for a, b in zip(others, [*others[5:], *others[:5]], strict=True)]  # halves of two
+    texts += [(words, len(families) - 1) for words in [*others, []]]
+    seen = [t for k, t in enumerate(texts) if k % 4 != 3]
     pairs = {f: [set(zip(w, w[1:], strict=False)) for w in map(words_of, (n.encode() for n in notices[f]))] for f in families[:-1]}
-    model = LicenseModel(families, index, weights, bias, LEAST, pairs)
-    false = [float(model.probabilities(words)[:-1].max()) for words, _ in texts[first:]]
-    model.threshold = max(LEAST, min(0.9, max(false) + 0.05))
-    return model
+    first = LicenseModel(families, *fit(seen, families, turns), LEAST, pairs)
+    true, false = [], []
+    for words, k in texts[3::4]:
+        p = first.probabilities(words)
+        if k == len(families) - 1:
+            false.append(float(p[:-1].max()))
+        else:
+            true.append(float(p[k]))
+    return LicenseModel(families, *fit(texts, families, turns), threshold_of(true, false), pairs)
 
 
 class Scanner:
@@ -205,10 +233,10 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
 
     Null or empty text: none. Null ids and repeated rows pass through. No rows: no rows. Whole texts are scanned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.families, model.index, model.weights, model.bias, model.threshold, model.pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value)
+        scanner = Scanner(LicenseModel(*shared.value))
         for batch in batches:
             families, counts, scores = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -218,4 +246,4 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
                 scores.append(max((p for _, p in accepted), default=0.0))
             yield pa.record_batch([batch.column(0), pa.array(families, pa.string()), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "families", "n_paragraphs", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, families string, n_paragraphs long, score double")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, families string, n_paragraphs long, score double")
