@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, spread
+
 #: The vocabulary's split pattern (fixed value of its format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters cut into pre-tokens at a time, and pre-token counts kept by a task.
@@ -150,14 +152,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     Special strings of the vocabulary count as one token where they occur. Null or empty text: 0 bytes and tokens. Null ids,
     repeated rows and other columns don't matter. No rows: no rows. The vocabulary (fixed size) is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    v = Vocabulary.load(path)
+    shared = docs.sparkSession.sparkContext.broadcast((v.byte_ids, v.pairs, v.ranks, v.merged, v.specials))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = TokenCounter(shared.value)
+        count = TokenCounter(Vocabulary(*shared.value))
         for batch in batches:
             texts = batch.column(1)
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
             yield pa.record_batch([batch.column(0), n_bytes, pa.array(count(texts.to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        released()
 
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

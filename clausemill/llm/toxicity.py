@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out
+from .common import Scratch, held_out, released, spread
 
 #: Labelled rows of each class that are learnt from at most: those with the lowest hashes of their ids.
 SAMPLE = 20_000
@@ -215,10 +215,10 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     Null or empty text: the score of a text without any term. Null ids aren't held out. Repeated rows each count. No rows: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.calibration))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = shared.value, Folder()
+        own, table = Lexicon(*shared.value), Folder()
         automaton, b = own.automaton(), own.calibration
         for batch in batches:
             scores, found = [], []
@@ -229,6 +229,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b[0] + b[1] * x[0] + b[2] * x[1])))))
                 found.append(sorted({t.strip() for t, _, _ in met}))
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "score", "found"])
+        released()
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, found array<string>")
+    out = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, score double, found array<string>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "found")
