@@ -56,10 +56,21 @@ def fragment_json() -> Column:
     return F.to_json(F.struct(*FIELDS))
 
 
-def context_json(rows: DataFrame) -> DataFrame:
-    """(question_id, n_fragments, context): the fragments of each question as a JSON array in order."""
-    listed = rows.select("question_id", "ord", fragment_json().alias("j")).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_fragments"), F.array_sort(F.collect_list(F.struct("ord", "j"))).alias("js"))
-    return listed.select("question_id", "n_fragments", F.concat(F.lit("["), F.array_join(F.transform("js", lambda x: x["j"]), ","), F.lit("]")).alias("context"))
+def indented_json() -> Column:
+    """fragment_json() as an item of a JSON array with an indent of two spaces."""
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    items = lambda c: F.transform(c, lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1))
+    listed = lambda c: F.when(F.size(c) == 0, "[]").otherwise(F.concat(F.lit("[\n      "), F.array_join(items(c), ",\n      "), F.lit("\n    ]")))
+    value = {"formulas": listed("formulas"), "tables": listed("tables"), "is_mandatory": F.col("is_mandatory").cast("string")}
+    lines = [F.concat(F.lit(f'    "{c}": '), value.get(c, quoted(c))) for c in FIELDS]
+    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
+
+
+def context_json(rows: DataFrame, indent: bool = False) -> DataFrame:
+    """(question_id, n_fragments, context): the fragments of each question as a JSON array in order; with `indent`, as prompts show it."""
+    listed = rows.select("question_id", "ord", (indented_json() if indent else fragment_json()).alias("j")).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_fragments"), F.array_sort(F.collect_list(F.struct("ord", "j"))).alias("js"))
+    first, between, last = ("[\n", ",\n", "\n]") if indent else ("[", ",", "]")
+    return listed.select("question_id", "n_fragments", F.concat(F.lit(first), F.array_join(F.transform("js", lambda x: x["j"]), between), F.lit(last)).alias("context"))
 
 
 def prompts(questions: DataFrame, candidates: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -116,5 +127,5 @@ def answer(questions: DataFrame, candidates: DataFrame, clauses: DataFrame, stan
     rows = fragments(candidates, clauses, standards)
     if chunks is not None:
         rows = small_to_big(rows, chunks)
-    asked = prompts(questions, candidates, context_json(rows))
+    asked = prompts(questions, candidates, context_json(rows, indent=True))
     return intercept_numbers((generator or ExtractiveGenerator()).generate(asked, rows), rows)

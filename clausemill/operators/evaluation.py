@@ -40,6 +40,18 @@ def summary(scored: DataFrame) -> DataFrame:
     )
 
 
+def version_rates(cited: DataFrame) -> DataFrame:
+    """One row of rates over citations (cited_id, gold_id, cited_status, cited_page, gold_page, node_id): right version, retired standards, right page, mapped to a node. No rows: zeros."""
+    rate = lambda c, name: F.round(F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")), F.lit(0.0)), 9).alias(name)
+    return cited.agg(
+        F.count(F.lit(1)).alias("total"),
+        rate(F.col("cited_id") == F.col("gold_id"), "version_accuracy"),
+        rate(F.col("cited_status") != T.CURRENT, "retired_misuse"),
+        rate(F.col("cited_page") == F.col("gold_page"), "page_hit"),
+        rate(F.col("node_id").isNotNull(), "mapping_success"),
+    )
+
+
 def run(cases: DataFrame, candidates: DataFrame, answers: DataFrame, standard_ids: DataFrame) -> DataFrame:
     """Summary of cases (case_id, gold_standard_no, gold_clause_no, should_answer, must_cite), candidates and answers (case_id, answer)."""
     met = gold_ids(cases, standard_ids).join(ranked_lists(candidates, "case_id"), "case_id", "left").join(answers, "case_id", "left")

@@ -14,6 +14,13 @@ def upsert(batches: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return batches.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def insert_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`existing` and those of `rows` whose key isn't there yet; of equal keys among `rows`, one stays (the smallest row)."""
+    rest = [c for c in rows.columns if c not in keys]
+    fresh = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    return existing.unionByName(fresh.join(existing.select(*keys), keys, "left_anti"))
+
+
 def partial_upsert(batches: DataFrame, keys: list[str], last: list[str], first: list[str], seq: str = "seq") -> DataFrame:
     """One row of each key: `last` columns from its last row, `first` columns from its first."""
     return batches.groupBy(*keys).agg(*[F.max_by(c, seq).alias(c) for c in last], *[F.min_by(c, seq).alias(c) for c in first])
@@ -37,6 +44,26 @@ def version_chain(versions: DataFrame, as_of: Column, family: str = "family", ef
     return versions.select("*", status.alias("status"), F.lag(ident).over(order).alias("replaces"), F.lead(ident).over(order).alias("replaced_by"))
 
 
+def apply_changes(standards: DataFrame, changes: DataFrame) -> DataFrame:
+    """standards (standard_id, standard_no, status) with replaced_by after changes (standard_id, action, new_id, new_no).
+
+    add: a current standard of the new id; revise: that too, and the named one is retired in its favour; retire: the named one is retired.
+    A new id that exists already isn't added again.
+    """
+    ended = changes.filter(F.col("action").isin("revise", "retire")).groupBy("standard_id").agg(F.max("new_id").alias("replaced_by"), F.lit(True).alias("_ended"))
+    old = standards.select("standard_id", "standard_no", "status").join(ended, "standard_id", "left")
+    kept = old.select("standard_id", "standard_no", F.when(F.col("_ended"), T.RETIRED).otherwise(F.col("status")).alias("status"), "replaced_by")
+    added = changes.filter(F.col("action").isin("add", "revise")).select(F.col("new_id").alias("standard_id"), F.col("new_no").alias("standard_no"), F.lit(T.CURRENT).alias("status"), F.lit(None).cast("string").alias("replaced_by"))
+    return insert_new(kept, added, ["standard_id"])
+
+
+def reindex(tree: DataFrame, amended: DataFrame) -> DataFrame:
+    """(node_id, reason): the nodes whose chunks change with the amended nodes (node_id): these themselves, and their children, whose context holds their text."""
+    own = tree.join(amended.select("node_id").distinct(), "node_id", "left_semi").select("node_id", F.lit("amended").alias("reason"))
+    below = tree.join(amended.select(F.col("node_id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("node_id", F.lit("parent amended").alias("reason"))
+    return own.unionByName(below).groupBy("node_id").agg(F.min("reason").alias("reason"))
+
+
 def supersede(clauses: DataFrame, amendments: DataFrame, include_history: bool = False) -> DataFrame:
     """Clauses without those that a current amendment (supersedes, revision_source) replaces; with include_history they stay, flagged."""
     current = amendments.filter(F.col("status") == T.CURRENT).groupBy(F.col("supersedes").alias("clause_id")).agg(F.min("revision_source").alias("revision_source"))

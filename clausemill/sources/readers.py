@@ -64,15 +64,29 @@ def synonym_groups(lines: Iterable[str]) -> list[list[str]]:
     return [g for g in groups if g]
 
 
+def dictionary(lines: DataFrame, column: str = "line") -> DataFrame:
+    """`lines` with terms, as synonym_groups() has them; lines without a term are dropped."""
+    terms = F.filter(F.transform(F.split(column, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return lines.filter(~F.ltrim(column).startswith("#")).withColumn("terms", terms).filter(F.size("terms") > 0)
+
+
 def user_terms(lines: Iterable[str]) -> list[str]:
     return [x for x in (line.strip() for line in lines) if x and not x.startswith("#")]
 
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases of a JSON array; missing texts are empty, must_cite false, should_answer true."""
-    raw = spark.read.schema(EVAL).json(path, multiLine=True)
+    return _cases(spark.read.schema(EVAL).json(path, multiLine=True))
+
+
+def eval_cases_of(rows: DataFrame, column: str = "json") -> DataFrame:
+    """eval_cases() of JSON arrays in a column, with the other columns."""
+    return _cases(rows.select("*", F.explode(F.from_json(column, f"array<struct<{EVAL.replace(' ', ':')}>>".replace(",:", ", "))).alias("_c")).select(*[c for c in rows.columns if c != column], "_c.*"), [c for c in rows.columns if c != column])
+
+
+def _cases(raw: DataFrame, others: list[str] | None = None) -> DataFrame:
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("question", "gold_standard_no", "gold_clause_no", "gold_answer", "gold_table_id")]
-    return raw.select(*texts, F.coalesce("must_cite", F.lit(False)).alias("must_cite"), F.coalesce("should_answer", F.lit(True)).alias("should_answer"))
+    return raw.select(*(others or []), *texts, F.coalesce("must_cite", F.lit(False)).alias("must_cite"), F.coalesce("should_answer", F.lit(True)).alias("should_answer"))
 
 
 def dump_lines(pages: DataFrame) -> DataFrame:
@@ -80,6 +94,11 @@ def dump_lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc_path", "page_no", F.format_string("===== 第 %d 页 =====\n%s", "page_no", "text").alias("value"))
 
 
+def dump_sample(pages: DataFrame, key: str = "doc_path", most: int = 600) -> DataFrame:
+    """key and sample: the first `most` bytes of the first page that isn't blank, as binary (a character may be cut)."""
+    return pages.filter(~T.is_blank(F.col("text"))).groupBy(key).agg(F.min_by(F.substring(F.col("text").cast("binary"), 1, most), "page_no").alias("sample"))
+
+
 def dump_stats(pages: DataFrame, key: str = "doc_path") -> DataFrame:
     """key, pages, bytes and the first page that isn't blank."""
     shown = F.when(~T.is_blank(F.col("text")), F.col("page_no"))

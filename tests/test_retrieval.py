@@ -51,6 +51,33 @@ def test_synonyms(spark):
     assert out == {1: "a x bb w y", 2: "none", 3: "a b c bb"}
 
 
+def test_large_dictionaries(spark):
+    groups = [[f"term{k}x", f"word{k}x"] for k in range(2000)]
+    q = spark.createDataFrame([(1, "a term7x and word1999x"), (2, "none")], "question_id int, question string")
+    assert {r.question_id: r.expanded for r in R.expand_synonyms(q, groups).collect()} == {1: "a term7x and word1999x word7x term1999x", 2: "none"}
+
+
+def test_kept_index_gives_the_same(spark, tmp_path):
+    c = spark.createDataFrame([("a", "S", "alpha beta beta"), ("b", "S", "beta gamma"), ("c", "S", "gamma delta"), ("d", "S", None), ("e", "S", "")], "clause_id string, standard_id string, text string")
+    q = spark.createDataFrame([(1, "alpha Beta"), (2, "gamma"), (3, "zzz"), (4, "")], "question_id int, question string")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS kept LOCATION '{tmp_path}'")
+    try:
+        R.keep_index(c.limit(1), "kept.postings", buckets=4)
+        R.keep_index(c, "kept.postings", buckets=4)  # drops the older one
+        index = R.kept_index(spark, "kept.postings")
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(R.bm25_top_k(q, None, 5, index=index)) == rows(R.bm25_top_k(q, c, 5)) != []
+        plan = index.groupBy("token").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.sql("DROP DATABASE kept CASCADE")
+
+
+def test_citations_of_odd_numbers(spark):
+    rows = spark.createDataFrame([("see (4.2", "(4.2"), ("see 4x2", "4.2"), ("a[b]c 1", "[b]"), ("x", "")], "answer string, no string")
+    assert [r.c for r in rows.select(T.cites_clause(F.col("answer"), F.col("no")).alias("c")).collect()] == [True, False, True, False]
+
+
 def test_scalar_filter_skips_access_for_admin(spark):
     s = spark.createDataFrame([("1", "现行", "public"), ("2", "现行", "internal"), ("3", "作废", "public"), ("4", "现行", None)], "standard_id string, status string, access_level string")
     ids = lambda c: {r.standard_id for r in s.filter(c).collect()}
