@@ -3,8 +3,13 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,7 +18,7 @@ import __spark_entry__ as entry
 from clausemill.llm.common import Scratch
 from clausemill.llm import chat, decontaminate, html_text, kneser_ney, langid, licenses, mixing, near_dups, quality, tokens, toxicity
 
-SF = "/root/testdata/sf0.001"
+SF, REPO = "/root/testdata/sf0.001", Path(entry.__file__).parent
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls, empty and blank texts, one very long word, repeated rows, ties.
 ODD = [
@@ -417,6 +422,24 @@ def test_licences(odd, none):
     assert len(rows) == len(ODD) and {r.families for r in rows} == {""} and licenses.scan(none, model).count() == 0
 
 
+def test_licences_by_brute_force(spark, documents):
+    """Notices in long texts, held against a search of every window of their lengths."""
+    model = licenses.train()
+    scanner = licenses.Scanner(model)
+    rng = random.Random(5)
+    fill = [w for r in documents.limit(20).collect() for w in r.text.split()]
+    lengths = sorted({len(licenses.words_of(n.encode())) for own in licenses.NOTICES.values() for n in own})
+    for family in ("MIT", "GPL-3.0", "CC-BY", "ISC", None, None):
+        words = rng.choices(fill, k=300)
+        at = rng.randint(0, 300)
+        notice = max(licenses.NOTICES[family], key=len).split() if family else []
+        text = " ".join([*words[:at], *notice, *words[at:]]).encode()
+        w = licenses.words_of(text)
+        want = {model.classify(w[k : k + m])[0] for m in lengths for k in range(len(w) - m + 1)} - {licenses.UNKNOWN}
+        found = {f for f, _ in scanner.notices(text)}  # of overlapping windows, the one that holds most of its template counts
+        assert found == ({family} if family else set()) and found <= want and bool(want) == bool(family)
+
+
 def test_licences_in_documents(spark, documents):
     model = licenses.train()
     some = documents.limit(20).collect()
@@ -522,6 +545,28 @@ def test_toxicity_finds_folded_terms(spark, lexicon):
     assert [r.predicted for r in rows] == [1, 1, 1, 1, 0, 0, 0] and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_by_brute_force(spark, lexicon, documents):
+    """Scores held against a plain search for each term at each place of the folded text."""
+    own = toxicity.Lexicon(lexicon.weights, {("the", next(iter(lexicon.weights)))}, lexicon.calibration)
+    some = [next(iter(lexicon.weights)).strip(), "vilebad", "V1LEB@D"]
+    rows = [(r.doc_id, f"{r.text} the {some[r.doc_id % 3]} end" if r.doc_id % 2 else r.text) for r in documents.limit(60).collect()] + [(9000, "vilebad " * 30_000), (9001, "x" * 200_000)]
+    table = toxicity.Folder()
+    for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), own).collect():
+        plain = toxicity.folded(dict(rows)[r.doc_id], table)
+        total = 0.0
+        for at in range(len(plain)) if len(plain) < 100_000 else [k for k in range(len(plain)) if plain[k] == " "]:
+            met = [t for t in own.weights if plain.startswith(t, at)]
+            if met:
+                term = max(met, key=len)
+                words = plain[at + 1 :].split(" ", 2)
+                before = plain[:at].rsplit(" ", 1)[-1]
+                if (before, term) not in own.exceptions and (term, words[1] if len(words) > 1 else "") not in own.exceptions:
+                    total += own.weights[term]
+        b, n = own.calibration, max(1, plain.count(" ") - 1)
+        want = 1 / (1 + np.exp(-(b[0] + b[1] * np.log1p(total) + b[2] * np.log1p(100 * total / n))))
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(r.score >= 0.5)
+
+
 def test_toxicity_exceptions_and_odd(odd, none, lexicon, spark):
     own = toxicity.Lexicon(lexicon.weights, {("not", next(t for t in lexicon.weights if t.startswith(" vlle")))}, lexicon.calibration)
     rows = toxicity.scored(spark.createDataFrame([(1, "not vilebad here"), (2, "so vilebad here")], "doc_id long, text string"), own).orderBy("doc_id").collect()
@@ -618,6 +663,22 @@ def test_language_rejects_what_it_never_learnt(spark):
     assert left == {i for i, r in got.items() if not r}
 
 
+def test_language_by_brute_force(spark):
+    """Languages and cross-entropies by the definition, learnt from the rows that are neither held out nor calibrated on."""
+    texts = {"x": ["banana bandana", "anna bans", "ban nab"], "y": ["kotik toki", "okto kit", "tik tok"]}
+    rows = [(k, texts["xy"[k % 2]][k % 3], "xy"[k % 2], "a", 0) for k in range(40)] + [(100, "nab kot", None, "a", 0), (101, "Banana", None, "a", 0)]
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, *_ in rows}
+    learnt = {g: [t.lower() for i, t, lang, *_ in rows if lang == g and fold[i] > 1] for g in "xy"}
+    models = {g: plain_kneser_ney(t) for g, t in learnt.items()}
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    for i, text, *_ in rows:
+        s = "    " + " ".join(text.lower().split()) + " "
+        entropy = {g: -sum(np.log(p(s[k - 4 : k], s[k])) for k in range(4, len(s))) / (len(s) - 4) for g, p in models.items()}
+        best = min(entropy, key=entropy.get)
+        odds = sum(np.exp(-(e - entropy[best]) * min(len(s) - 4, 40)) for e in entropy.values())
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / odds, rel=1e-4) and got[i].held_out == (fold[i] == 0)
+
+
 def test_language_odd(odd, none, spark):
     by = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert by[1].lang_pred == by[2].lang_pred == by[3].lang_pred == by[9].lang_pred == "und" and by[5].lang_pred in ("en", "fr", "de") and by[8].lang_pred != "und"
@@ -626,6 +687,44 @@ def test_language_odd(odd, none, spark):
     assert langid.identify(unlabelled).first().lang_pred == "und" and langid.passing(unlabelled).count() == 0
 
 
+LONG = [" ".join(f"w{k}" for k in range(400_000)), "same line of words\n" * 60_000, "x" * 3_000_000, "中" * 300_000]
+
+
+def test_very_long_texts(spark):
+    d = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(LONG)], DOCS)
+    bench = spark.createDataFrame([(1, "w399990 w399991 w399992 w399993 w399994 w399995 w399996 w399997 w399998 w399999")], "item_id long, text string")
+    by = {r.doc_id: r for r in quality.rules(d).collect()}
+    assert (by[0].n_words, by[0].n_repeat_words, by[0].base_failed) == (400_000, 0, False) and (by[1].n_words, by[1].n_repeat_words, by[1].n_dup_lines) == (240_000, 240_000, 59_999) and by[2].word_chars == 3_000_000
+    assert {r.doc_id: r.n_shingles for r in near_dups.near_duplicates(d, 4, 80).collect()} == {0: 399_997, 1: 4, 2: 1, 3: 1}
+    assert {r.doc_id: r.n_hit for r in decontaminate.report(d, bench).collect()} == {0: 10, 1: 0, 2: 0, 3: 0}
+    assert langid.identify(d).count() == len(LONG) and licenses.scan(d, licenses.train()).count() == len(LONG)
+
+
+def test_repeated_words_of_many_words():
+    w = [str(k).encode() for k in range(3_000_000)]
+    assert quality.repeated_words(w) == 0 and quality.repeated_words([*w, *w[-3:]]) == 6
+
+
+def test_workers_need_no_package(tmp_path):
+    """The package stands on the driver's path alone."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", 4).getOrCreate()
+def has(rows):
+    import importlib.util
+    yield importlib.util.find_spec("clausemill") is not None
+assert spark.sparkContext.parallelize([1], 1).mapPartitions(has).collect() == [False]
+import __spark_entry__
+for name in ("op2_chat", "op3_token_counts", "op6_licenses", "op7_decontamination", "op8_toxicity", "op9_html_text", "op10_language"):
+    assert __spark_entry__.queries()[name](spark, {SF!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_registered():
     names = entry.queries()
     assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names

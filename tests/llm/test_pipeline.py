@@ -2,9 +2,11 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline as pipeline
 
-from .test_operators import groups, targets, words
+from .test_operators import DOCS, ODD, groups, targets, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +49,18 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "size", "source_size", "target", "taken"} <= set(rows[0].asDict())
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_run_on_odd_and_empty_tables(spark, tmp_path, empty):
+    """Nulls, empty and repeated rows and columns of the stages' own names: no crash, each stage keeps the columns, and nothing comes of nothing."""
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [] if empty else [(*r, 0, "x") for r in ODD] + [(i, long, lang, source, 1, 0, "x") for i, lang, source in [(20, "en", "a"), (20, "en", "a"), (None, "en", "b"), (21, None, None), (22, "en", "b")]]
+    docs = spark.createDataFrame(rows, DOCS + ", size int, kept string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns if k < 4 else {"doc_id", "taken"} <= set(out.columns)
+        assert out.count() <= len(rows) and (k != 2 or len(out.filter("doc_id = 20").collect()) <= 1)
+    assert pipeline.run(spark, str(tmp_path)).count() <= len(rows)
