@@ -7,7 +7,7 @@
    ordered by frequency, rarest first. Two documents with MATCHES collisions or more share one of their
    COORDINATES - MATCHES + 1 first tokens (prefix merging), so frequent tokens, as shared passages have, are left out of
    the lists (skip merging) and only counted when a pair's signatures are held against each other.
-4. In each list, members are held against a hub instead of each other: the most central one, then one by chance. Links are
+4. In each list, members are held against a hub instead of each other: the most central one, then others by chance. Links are
    contracted to components, and lists whose members are all connected are done. So a large group of copies costs rows in proportion
    to its size.
 5. Members of the lists that are left are many and mostly unlike, as those that share a passage. They are thinned out by a second prefix
@@ -34,7 +34,8 @@ from .common import Scratch, released, spread, wrapped
 COORDINATES, MATCHES = 24, 10
 #: At similarity 0.8 a pair has fewer than 10 of 24 collisions in 6 cases of a million.
 PREFIX = COORDINATES - MATCHES + 1
-HUB_TURNS = 2
+#: Each turn halves, at the least, what a large group of near copies leaves to be merged pair by pair.
+HUB_TURNS = 4
 #: Hash buckets in which shingles are counted to order them.
 SKETCH = 1 << 20
 #: Word hashes kept by a task; they are dropped together when there are more.
@@ -92,6 +93,13 @@ def _seeds() -> np.ndarray:
     return mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of n rows at most, so that what is made of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, n):
+            yield batch.slice(k, n)
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     column = batch.column(batch.schema.get_field_index(name))
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
@@ -107,7 +115,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seeds = Shingler(width), _seeds()
-        for batch in batches:
+        for batch in rows_of(batches):
             sizes, nodes, tokens = [], [], []
             for text in _texts(batch, "text"):
                 found = shingle(text)
@@ -183,11 +191,12 @@ def sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in rows_of(batches):
             ids = batch.column(0).to_pylist()
             found = [shingle(text) for text in _texts(batch, "text")]
             own = [k for k, x in enumerate(found) if node_of(x) == ids[k]]  # not another row with the representative's doc_id
             yield pa.record_batch([pa.array([ids[k] for k in own], pa.int64()), pa.array([found[k].tobytes() for k in own], pa.binary())], ["id", "shingles"])
+        released()
 
     return texts.mapInArrow(run, "id long, shingles binary")
 
@@ -205,7 +214,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in rows_of(batches):
             a, b = [], []
             for hub, salt, i, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 found = np.frombuffer(data, np.uint64)
@@ -268,7 +277,7 @@ def set_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
+        for batch in rows_of(batches, 128):
             out = [[], [], [], [], []]
             sketches = [np.empty((0, words), np.int64)]
             for i, comp, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
