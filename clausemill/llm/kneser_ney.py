@@ -181,22 +181,19 @@ class Model:
         if self.shards > 1:
             before = F.ascii(F.substring("gram", F.col("k") - 1, F.lit(1)))
             rows = rows.filter((F.col("k") == 1) | (F.pmod(before, F.lit(self.shards)) == k))
-        table = rows.toArrow().combine_chunks()
         number = {g: j for j, g in enumerate(self.groups)}
-        names = table.column("grp").combine_chunks().dictionary_encode()
-        owner = np.array([number[g] for g in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()] if table.num_rows else np.empty(0, np.uint64)
-        order, grams = table.column("k").to_numpy(), table.column("gram").combine_chunks()
-        logp, logw = table.column("logp").to_numpy().astype(np.float32), table.column("logw").to_numpy().astype(np.float32)
         levels = []
-        for n in range(1, ORDER + 1):
-            own = np.flatnonzero(order == n)
-            points = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(own)], grams.take(pa.array(own))), "")[0].as_py().encode("utf-32-le"), np.uint32).reshape(-1, n)
-            keys, contexts = gram_hashes(points) + group_hash(owner[own]), gram_hashes(points[:, :-1]) + group_hash(owner[own])
+        for n in range(1, ORDER + 1):  # order by order, so that the driver holds one in its raw form
+            table = rows.filter(F.col("k") == n).select("grp", "gram", "logp", "logw").toArrow().combine_chunks()
+            names, grams = table.column("grp").combine_chunks().dictionary_encode(), table.column("gram").combine_chunks()
+            owner = np.array([number[g] for g in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()] if table.num_rows else np.empty(0, np.uint64)
+            points = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(grams)], grams), "")[0].as_py().encode("utf-32-le"), np.uint32).reshape(-1, n)
+            keys, contexts = gram_hashes(points) + group_hash(owner), gram_hashes(points[:, :-1]) + group_hash(owner)
             at = np.argsort(keys)
             distinct, first = np.unique(contexts, return_index=True)
-            levels.append((keys[at], logp[own][at], distinct, logw[own][first]))
-        del table, grams, points, keys, contexts, owner, logp, logw
-        released()
+            levels.append((keys[at], table.column("logp").to_numpy().astype(np.float32)[at], distinct, table.column("logw").to_numpy().astype(np.float32)[first]))
+            del table, names, grams, owner, points, keys, contexts, at, distinct, first
+            released()
         return (k, self.shards, len(self.groups), float(-np.log(CODE_POINTS)), levels)
 
 
