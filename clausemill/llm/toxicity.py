@@ -196,6 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
         x.append(features([(f["t"], f["b"], f["a"]) for f in r["found"]], r["n_words"], lexicon))
         y.append(r["toxic"])
     lexicon.calibration = calibrated(np.array(x), np.array(y, float))
+    scratch.close()
     return lexicon
 
 
