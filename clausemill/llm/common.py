@@ -58,6 +58,11 @@ class Scratch:
         while self.shared:
             self.shared.pop().destroy()
 
+    def settle(self) -> None:
+        """Has the driver collect its garbage, as plans, broadcasts and shuffle files of finished jobs stay until it does. For operators of many jobs."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Forgets tables that no later plan reads."""
         for name in names:

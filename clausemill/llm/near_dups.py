@@ -313,26 +313,42 @@ def connected(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     In each turn, an id hooks to its smallest neighbour if that is smaller; parents are followed twice, links renamed and those inside a
     tree dropped. An id that keeps its name is smaller than all its neighbours, so at least half of the linked ids go in each turn.
     """
-    parents, turn, edges = None, 0, links
+    ups, edges = [], links
     while True:
+        turn = len(ups)
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("up"))
+        hooked = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root"))
         up = scratch.put(hooked, f"{label}-hooked-{turn}")
         for _ in range(2):
-            above = up.select(F.col("id").alias("up"), F.col("up").alias("higher"))
-            up = up.join(above, "up", "left").select("id", F.coalesce("higher", "up").alias("up"))
-        up = scratch.put(up, f"{label}-up-{turn}")
-        renamed = up.select(F.col("id").alias("root"), F.col("up").alias("next"))
-        if parents is None:
-            parents = up.select("id", F.col("up").alias("root"))
-        else:
-            moved = parents.join(renamed, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-            parents = scratch.put(moved, f"{label}-parents-{turn}")
-        ends = edges.join(up.select(F.col("id").alias("a"), F.col("up").alias("ra")), "a", "left").join(up.select(F.col("id").alias("b"), F.col("up").alias("rb")), "b", "left")
-        edges = scratch.put(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a != b").distinct(), f"{label}-edges-{turn}")
-        turn += 1
+            up = followed(up, up)
+        ups.append(scratch.put(up, f"{label}-up-{turn}"))
+        edges = scratch.put(renamed(edges, ups[-1]), f"{label}-edges-{turn}")
         if edges.isEmpty():
-            return parents
+            return scratch.put(reduce(followed, ups), f"{label}-parents") if turn else ups[0]
+
+
+def followed(parents: DataFrame, above: DataFrame) -> DataFrame:
+    """`parents` (id, root) with roots that have one in `above` (id, root) replaced by it."""
+    return parents.join(above.select(F.col("id").alias("root"), F.col("root").alias("higher")), "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
+
+
+def renamed(links: DataFrame, parents: DataFrame) -> DataFrame:
+    """Links (a, b) between the roots of `links`, without those inside a component."""
+    ends = links.join(parents.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(parents.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
+    a, b = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+    return ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct()
+
+
+def merged(parents: DataFrame | None, links: DataFrame, scratch: Scratch, label: str) -> DataFrame | None:
+    """`parents` (id, root; None: nothing is linked) after further links. Only components are linked anew, not their members, so what is known isn't found again."""
+    fresh = links if parents is None else scratch.put(renamed(links, parents), f"{label}-fresh")
+    if fresh.isEmpty():
+        return parents
+    above = connected(fresh, scratch, label)
+    if parents is None:
+        return above
+    # a root is among the ids on both sides, with the same new root
+    return scratch.put(followed(parents, above).unionByName(above).distinct(), f"{label}-merged")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -355,8 +371,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
     # an id that stands on rows with different sets links them
     several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z")
     links = scratch.put(full.join(several, "doc_id").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "same-id")
-    parents = None if links.isEmpty() else connected(links, scratch, "cc-ids")
+    parents = merged(None, links, scratch, "cc-ids")
     for turn in range(HUB_TURNS + 1):
+        scratch.settle()
         lists = scratch.put(unmerged(with_component(lists, parents)), f"lists-{turn}")
         if lists.isEmpty():
             break
@@ -364,9 +381,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
         found = scratch.put(confirmed(scratch.put(colliding(met, reps, percent), f"pairs-{turn}"), sets, percent), f"links-{turn}")
         scratch.unshare()
         lists = lists.drop("comp")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            parents = connected(links, scratch, f"cc-{turn}")
+        parents = merged(parents, found, scratch, f"cc-{turn}")
+    scratch.settle()
     classed = with_component(reps.select("id"), parents)
     smallest = classed.join(reps.select("id", "doc_id"), "id").groupBy("comp").agg(F.min("doc_id").alias("component"))
     named = scratch.put(classed.join(smallest, "comp").select(F.col("id").alias("node"), "component"), "named")

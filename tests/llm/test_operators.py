@@ -378,6 +378,32 @@ def test_near_duplicates_by_brute_force(spark, copies, documents):
         assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_near_duplicates_link_anew_only_what_is_new(spark, copies, monkeypatch):
+    """Each turn links components that earlier turns left apart, none of their members again, and the driver collects what a turn left."""
+    root, calls, settled = {}, [], []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    def noted(links, scratch, label, real=near_dups.connected):
+        met = [(r.a, r.b) for r in links.collect()]
+        calls.append(len(met))
+        assert all(find(a) == a and find(b) == b for a, b in met), label
+        out = real(links, scratch, label)
+        for r in out.collect():
+            root[r.id] = r.root
+        assert all(find(a) == find(b) for a, b in met)
+        return out
+
+    monkeypatch.setattr(near_dups, "connected", noted)
+    monkeypatch.setattr(Scratch, "settle", lambda self, real=getattr(Scratch, "settle", None): (settled.append(1), real(self)), raising=False)
+    got = near_dups.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(copies, 4, 80)
+    assert len(calls) > 1 and all(calls) and len(settled) > len(calls)
+
+
 def test_second_prefix_merging_finds_all_links(spark, copies):
     texts = [(k, t) for k, t in copies[:120]]
     shingle = near_dups.Shingler(4)
