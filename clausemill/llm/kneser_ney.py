@@ -15,7 +15,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,8 @@ SHARD_GRAMS = 4_000_000
 CODE_POINTS = 0x110000
 #: Orders up to this are estimated in one job.
 TOGETHER = 3
+#: N-grams that the driver turns into arrays at a time.
+LOADED = 1 << 16
 #: N-grams that a counting task holds before it sends them on.
 COUNTED = 1 << 19
 #: Bytes of scores that a scoring task keeps by hash.
@@ -183,16 +184,24 @@ class Model:
             rows = rows.filter((F.col("k") == 1) | (F.pmod(before, F.lit(self.shards)) == k))
         number = {g: j for j, g in enumerate(self.groups)}
         levels = []
-        for n in range(1, ORDER + 1):  # order by order, so that the driver holds one in its raw form
-            table = rows.filter(F.col("k") == n).select("grp", "gram", "logp", "logw").toArrow().combine_chunks()
-            names, grams = table.column("grp").combine_chunks().dictionary_encode(), table.column("gram").combine_chunks()
-            owner = np.array([number[g] for g in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()] if table.num_rows else np.empty(0, np.uint64)
-            points = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(grams)], grams), "")[0].as_py().encode("utf-32-le"), np.uint32).reshape(-1, n)
-            keys, contexts = gram_hashes(points) + group_hash(owner), gram_hashes(points[:, :-1]) + group_hash(owner)
+        for n in range(1, ORDER + 1):  # order by order and batch by batch, so that the driver holds one order as it comes and one batch's points
+            table = rows.filter(F.col("k") == n).select("grp", "gram", "logp", "logw").toArrow()
+            keys, contexts = np.empty(table.num_rows, np.uint64), np.empty(table.num_rows, np.uint64)
+            logp, logw, end = np.empty(table.num_rows, np.float32), np.empty(table.num_rows, np.float32), 0
+            for batch in table.to_batches(max_chunksize=LOADED):
+                own = slice(end, end := end + batch.num_rows)
+                names = batch.column(0).dictionary_encode()
+                shift = group_hash(np.array([number[g] for g in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()])
+                points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, n)
+                keys[own], contexts[own] = gram_hashes(points) + shift, gram_hashes(points[:, :-1]) + shift
+                logp[own], logw[own] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            table = batch = names = points = shift = None
             at = np.argsort(keys)
-            distinct, first = np.unique(contexts, return_index=True)
-            levels.append((keys[at], table.column("logp").to_numpy().astype(np.float32)[at], distinct, table.column("logw").to_numpy().astype(np.float32)[first]))
-            del table, names, grams, owner, points, keys, contexts, at, distinct, first
+            keys, logp = keys[at], logp[at]
+            del at
+            contexts, first = np.unique(contexts, return_index=True)
+            levels.append((keys, logp, contexts, logw[first]))
+            del first, logw
             released()
         return (k, self.shards, len(self.groups), float(-np.log(CODE_POINTS)), levels)
 

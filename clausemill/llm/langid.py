@@ -52,6 +52,7 @@ def model_of(docs: DataFrame, scratch: Scratch) -> kn.Model:
 
 def summed(scratch: Scratch, model: kn.Model, shard: int):
     """A column function of text: number of characters, and their summed log-probabilities under each language; null without a letter."""
+    scratch.settle()
     shared = scratch.share(model.shard(shard))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -108,6 +108,7 @@ def language(row: str = "") -> Column:
 
 def measure(scratch: Scratch, model: kn.Model, shard: int, first: bool):
     """A column function of (group, text): METRICS, length and the summed log-probability of a shard's characters; without `first`, the sum alone."""
+    scratch.settle()
     shared, groups = scratch.share(model.shard(shard)), list(model.groups)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

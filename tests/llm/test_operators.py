@@ -326,6 +326,20 @@ def test_stages_keep_columns_of_any_name(spark, odd):
         assert rows and stage(d).columns == d.columns and all(r[name] == k for r in rows for k, name in enumerate(names))
 
 
+def test_models_are_loaded_in_batches(spark, documents, monkeypatch):
+    """The driver turns LOADED n-grams into arrays at a time, with the same arrays for any LOADED, and collects its garbage first."""
+    model, _ = quality.model_of(documents, Scratch(spark, "test"))
+    whole, sizes, settled = model.shard(0), [], []
+    monkeypatch.setattr(kneser_ney, "LOADED", 500)
+    monkeypatch.setattr(kneser_ney, "gram_hashes", lambda points, real=kneser_ney.gram_hashes: (sizes.append(len(points)), real(points))[1])
+    parts = model.shard(0)
+    assert max(sizes) <= 500 < max(len(level[0]) for level in whole[4]) and parts[:4] == whole[:4]
+    assert all(np.array_equal(x, y) for p, q in zip(parts[4], whole[4], strict=True) for x, y in zip(p, q, strict=True))
+    monkeypatch.setattr(Scratch, "settle", lambda self: settled.append(1))
+    quality.measure(Scratch(spark, "test"), model, 0, first=True)
+    assert settled
+
+
 # 5 near duplicates
 
 
