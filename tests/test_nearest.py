@@ -11,7 +11,7 @@ from clausemill.operators import retrieval as R
 
 V = "clause_id string, standard_id string, dense array<double>"
 Q = "question_id int, query array<double>"
-QUERIES = ["cross_modal_fuse", "eval_summary", "ab_compare", "dense_topk", "dense_batch_topk", "rerank_fallback", "visual_page_recall", "retrieval_metrics", "eval_run"]
+QUERIES = ["cross_modal_fuse", "eval_summary", "ab_compare", "dense_topk", "dense_batch_topk", "rerank_fallback", "visual_page_recall", "retrieval_metrics", "eval_run", "dense_filtered_topk"]
 
 
 class Shared:
